@@ -19,9 +19,29 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op6_line_dedup)}
+def op3_decontamination(spark, sf_dir):
+    from lattisca.llm.decontam import find_phrases, report
+
+    return report(find_phrases(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_decontamination, op6_line_dedup)}
 
 ORACLES = {
+    "op3_decontamination": """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+ph AS (SELECT DISTINCT item, least(len(ws), 13) AS n, array_to_string(ws[p:p + least(len(ws), 13) - 1], ' ') AS s
+       FROM (SELECT item, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS p FROM b WHERE len(ws) > 0)),
+dw AS (SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS s
+       FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM ph) WHERE len(ws) >= n)),
+h AS (SELECT doc_id, p, n, item FROM dw JOIN ph USING (n, s)),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+""",
     "op6_line_dedup": """
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 w AS (SELECT doc_id, unnest(range(1, len(ls) - 1)) AS p, ls FROM l WHERE len(ls) >= 3),
