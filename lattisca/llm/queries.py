@@ -39,7 +39,13 @@ def op8_nearest_neighbours(spark, sf_dir):
     return search_table(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_decontamination, op4_chat_formatting, op6_line_dedup, op8_nearest_neighbours)}
+def op5_simhash(spark, sf_dir):
+    from lattisca.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_decontamination, op4_chat_formatting, op5_simhash, op6_line_dedup, op8_nearest_neighbours)}
 
 ORACLES = {
     "op8_nearest_neighbours": """
