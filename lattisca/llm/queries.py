@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from lattisca.llm.common import table
 
 
+def op1_toxicity(spark, sf_dir):
+    from lattisca.llm.toxicity import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tagged = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return tagged.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("spans").cast("bigint").alias("n_toxic_tokens"), "spans")
+
+
 def op2_sharding(spark, sf_dir):
     from lattisca.llm.sharding import shard
 
@@ -45,7 +53,7 @@ def op5_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_decontamination, op4_chat_formatting, op5_simhash, op6_line_dedup, op8_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_decontamination, op4_chat_formatting, op5_simhash, op6_line_dedup, op8_nearest_neighbours)}
 
 ORACLES = {
     "op8_nearest_neighbours": """
