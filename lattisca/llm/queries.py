@@ -41,6 +41,13 @@ def op4_chat_formatting(spark, sf_dir):
     return format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
+def op7_sentencepiece(spark, sf_dir):
+    from lattisca.llm.pieces import encode_table
+
+    out = encode_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_tokens", "scores", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "ids")
+
+
 def op8_nearest_neighbours(spark, sf_dir):
     from lattisca.llm.ann import search_table
 
@@ -53,7 +60,7 @@ def op5_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_decontamination, op4_chat_formatting, op5_simhash, op6_line_dedup, op8_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_decontamination, op4_chat_formatting, op5_simhash, op6_line_dedup, op7_sentencepiece, op8_nearest_neighbours)}
 
 ORACLES = {
     "op8_nearest_neighbours": """
