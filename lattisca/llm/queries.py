@@ -60,13 +60,19 @@ def op5_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark, sf_dir):
+    from lattisca.llm.ngram import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     from lattisca.llm.repeats import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_decontamination, op4_chat_formatting, op5_simhash, op6_line_dedup, op7_sentencepiece, op8_nearest_neighbours, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_decontamination, op4_chat_formatting, op5_simhash, op6_line_dedup, op7_sentencepiece, op8_nearest_neighbours, op9_language_model, op10_substring_dedup)}
 
 ORACLES = {
     "op8_nearest_neighbours": """
