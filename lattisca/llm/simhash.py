@@ -46,14 +46,14 @@ def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed bigint) of each row."""
+    """doc_id, hash (of the text) and fp (the fingerprint's 64 bits as a signed bigint) of each row."""
 
     def hashed(batches):
         for batch in batches:
             fps = [fingerprint(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(hashed, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").mapInArrow(hashed, "doc_id bigint, hash bigint, fp bigint")
 
 
 def _tile_key(fields=FIELDS):
@@ -138,6 +138,13 @@ def links(fps: DataFrame, radius: int = RADIUS, fields=FIELDS, piece: int = PIEC
     return inner.unionByName(across).mapInArrow(compared, "u bigint, v bigint")
 
 
+def _classes(rows: DataFrame, radius: int, fields) -> DataFrame:
+    """(fp, root) of each distinct fingerprint of rows: its connected component."""
+    distinct = rows.select("fp").distinct()
+    roots = spool(components(links(distinct, radius, fields)), "roots")
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, fields=FIELDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row.
 
@@ -149,8 +156,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, fields=FIELDS) -> Dat
     """
     rows = spool(fingerprints(docs), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = spool(components(links(classes.select("fp"), radius, fields)), "roots")
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = classes.join(_classes(rows, radius, fields), "fp")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = named.join(lowest, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS, fields=FIELDS) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id, then the smallest hash of the text; null ids come last."""
+    rows = spool(fingerprints(docs), "fingerprints")
+    classes = spool(_classes(rows, radius, fields), "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("hash").alias("h"))
+    lowest = rows.groupBy("fp").agg(F.min(place).alias("low")).join(classes, "fp").groupBy("root").agg(F.min("low").alias("low"))
+    kept = lowest.select(F.col("low.i").alias("__i"), F.col("low.h").alias("__h"))
+    at = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "__h": F.xxhash64("text")})
+    kept = kept.select(F.coalesce("__i", F.lit(-(2**63))).alias("__d"), "__h")
+    return at.join(kept, ["__d", "__h"], "left_semi").dropDuplicates(["__d", "__h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
