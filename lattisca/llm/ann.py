@@ -1,10 +1,11 @@
 """Nearest neighbours by inner product from randomly rotated one-bit codes.
 
-A vector of length n, divided by its length and rotated by a fixed random orthogonal matrix, is stored as the signs of
-its components, packed in 64-bit words, with two scalars: its length and a, the inner product of the rotated vector
+A vector of length n, divided by its length, padded with zeros and rotated by a fixed random orthogonal matrix, is stored as the signs of
+its components (more dimensions than the vector has make the code longer and the bound tighter), packed in 64-bit words, with two scalars: its length and a, the inner product of the rotated vector
 with its own code. For a query, rotated alike and quantised to a few bit planes, b = <code, query> comes from ands and bit counts;
-the inner product is close to n |q| a b. The rest of the vector is orthogonal to its code and falls on the query like a
-random direction, which bounds the error: the vectors whose upper bound reaches the k-th best so far are scored exactly.
+the inner product is close to n |q| b / a. The rest of the code is orthogonal to the vector and falls on the query like a
+random direction, at most sqrt(1 - a^2) long, which bounds the error: the best estimates are scored exactly first, then all vectors whose upper bound
+reaches the k-th best score so far.
 
 Queries go in blocks of bounded size, each broadcast once and searched by every task against the rows of its partition,
 so memory doesn't depend on the number of rows or queries.
@@ -18,14 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 20
-#: Queries of a broadcast block; rows that a task codes at once; standard deviations that the error bound spans; bit planes of a query.
-BLOCK, ROWS, SPREAD, PLANES = 8192, 65536, 4.0, 6
+#: Queries of a broadcast block; rows that a task codes at once; standard deviations that the error bound spans; bit planes of a query; bits of a code, at least.
+BLOCK, ROWS, SPREAD, PLANES, BITS = 8192, 65536, 4.5, 5, 256
 SEED = 20
 
 
-def rotation(d: int, seed: int = SEED) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
-    return q * np.sign(np.diag(r))
+def rotation(d: int, seed: int = SEED, bits: int = BITS) -> np.ndarray:
+    """The first d rows of a random orthogonal matrix: it pads and rotates at once."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((max(d, bits), max(d, bits))))
+    return (q * np.sign(np.diag(r)))[:d]
 
 
 def pack(bits: np.ndarray) -> np.ndarray:
@@ -42,8 +44,9 @@ class Codes:
     def __init__(self, x: np.ndarray, turn: np.ndarray):
         self.norm = np.linalg.norm(x, axis=1)
         y = (x / self.norm[:, None]) @ turn
-        self.bits = pack(y > 0)
-        self.a = np.abs(y).sum(axis=1) / np.sqrt(x.shape[1])
+        self.words = np.ascontiguousarray(pack(y > 0).T)
+        self.ones = sum(np.bitwise_count(w).astype(np.int32) for w in self.words)
+        self.a = np.abs(y).sum(axis=1) / np.sqrt(turn.shape[1])
         self.rest = np.sqrt(np.maximum(0, 1 - self.a**2))
 
 
@@ -51,7 +54,7 @@ class Asked:
     """Queries, rotated and cut into bit planes."""
 
     def __init__(self, q: np.ndarray, turn: np.ndarray, planes: int = PLANES):
-        self.norm, d = np.linalg.norm(q, axis=1), q.shape[1]
+        self.norm, d = np.linalg.norm(q, axis=1), turn.shape[1]
         y = (q / self.norm[:, None]) @ turn
         self.low = y.min(axis=1)
         self.step = np.maximum(y.max(axis=1) - self.low, 1e-12) / (2**planes - 1)
@@ -62,14 +65,14 @@ class Asked:
 
     def bounds(self, codes: Codes, i: int, spread: float) -> tuple[np.ndarray, np.ndarray]:
         """Estimate and error bound of the inner product of query i with each coded vector."""
-        count = np.zeros(len(codes.a), dtype=np.int64)
-        ones = np.bitwise_count(codes.bits).sum(axis=1, dtype=np.int64)
+        count = np.zeros(len(codes.a), dtype=np.int32)
         for p, plane in enumerate(self.planes):
-            count += np.bitwise_count(codes.bits & plane[i]).sum(axis=1, dtype=np.int64) << p
-        b = (2 * (self.step[i] * count + self.low[i] * ones) - self.sum[i]) / np.sqrt(self.d)
-        scale = codes.norm * self.norm[i]
-        error = codes.rest * np.sqrt(np.maximum(0, 1 - b * b)) * min(1.0, spread / np.sqrt(max(1, self.d - 1))) + codes.a * self.off[i] + 1e-9
-        return scale * codes.a * b, scale * error
+            for word, mask in zip(codes.words, plane[i]):
+                count += np.bitwise_count(word & mask).astype(np.int32) << p
+        root = np.sqrt(self.d)
+        b = count * (2 * self.step[i] / root) + codes.ones * (2 * self.low[i] / root) - self.sum[i] / root
+        scale = codes.norm * self.norm[i] / codes.a
+        return b * scale, (codes.rest * (spread / np.sqrt(max(1, self.d - 1))) + self.off[i] + 1e-9) * scale
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -94,13 +97,17 @@ def search(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, tur
     codes, asked = Codes(x, turn), Asked(q, turn)
     for i in range(len(q)):
         near, error = asked.bounds(codes, i, spread)
-        error[ids == q_ids[i]] = -np.inf
-        low, high = near - np.abs(error), near + error
+        near[ids == q_ids[i]] = -np.inf
         old = best.get(i)
-        floor = old[0][-1] if old is not None and len(old[0]) == k else -np.inf
-        if len(low) > k + 1:
-            floor = max(floor, np.partition(low, -(k + 1))[-(k + 1)])
-        at = np.flatnonzero((high >= floor) & (ids != q_ids[i]))
+        first = np.argpartition(near, -2 * k)[-2 * k :] if len(near) > 2 * k else np.arange(len(near))
+        known = (x[first] @ q[i])[near[first] > -np.inf]
+        if old is not None:
+            known = np.concatenate([known, old[0]])
+        floor = np.sort(known)[-k] - 1e-9 * (1 + np.abs(known).max()) if len(known) >= k else -np.inf
+        at = np.flatnonzero((near + error >= floor) & (near > -np.inf))
+        if len(at) > k:  # a fast product first; those that may be among the k best are summed in order
+            rough = x[at] @ q[i]
+            at = at[rough >= np.sort(rough)[-k] - 1e-9 * (1 + np.abs(rough).max())]
         scores, own = products(np.broadcast_to(q[i], (len(at), q.shape[1])), x[at]), ids[at]
         if old is not None:
             scores, own = np.concatenate([old[0], scores]), np.concatenate([old[1], own])
