@@ -422,3 +422,256 @@ def recursive_reach():
 @plan("SELECT c_custkey, c_nationkey AS id_of, NULL::VARCHAR AS origin FROM customer WHERE c_custkey < 100")
 def key_and_source():
     return n.pipe(n.scan("customer", "c"), n.where(n.compare("lt", f("c", "c_custkey"), lit(100))), n.with_fields("c", id=f("c", "c_nationkey")), n.select("r", c_custkey=f("c", "c_custkey"), id_of=n.key_of("c"), origin=n.source_of("c")))
+
+
+# Maintenance, mappings, lenses, constraints and writes.
+
+
+def _session(spark, sf_dir, root, table, changed, added):
+    from lattisca.streaming.maintenance import Change, Session
+
+    session = Session(spark, root, catalog(spark, sf_dir, sorted(n.relations_of(root)), KEYS), functions=FUNCTIONS)
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    session.update({table: Change(rows.filter(changed), added(rows))}, 0, 1)
+    return session.rows
+
+
+def _without_and_new(name: str):
+    """The final state of events or orders after the change that the ivm queries make."""
+    if name == "events":
+        return "(SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE NOT (event_id % 97 = 3) UNION ALL SELECT event_id + 10000000, ts, user_id, event_type, value + 1, props FROM events WHERE event_id % 89 = 5)"
+    return "(SELECT * FROM orders WHERE NOT (o_orderkey % 101 = 7) UNION ALL SELECT o_orderkey + 100000000, o_custkey, o_orderstatus, o_totalprice * 2, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 103 = 9)"
+
+
+def _new_events(rows):
+    return rows.filter("event_id % 89 = 5").withColumns({"event_id": F.col("event_id") + 10000000, "value": F.col("value") + 1})
+
+
+def _new_orders(rows):
+    return rows.filter("o_orderkey % 103 = 9").withColumns({"o_orderkey": F.col("o_orderkey") + 100000000, "o_totalprice": F.col("o_totalprice") * 2})
+
+
+@query(f"SELECT event_id, value FROM {_without_and_new('events')} WHERE value > 50")
+def ivm_filter(spark, sf_dir):
+    root = n.pipe(n.scan("events"), n.where(n.compare("gt", f("events", "value"), lit(50))), n.select("r", event_id=f("events", "event_id"), value=f("events", "value")))
+    return _session(spark, sf_dir, root, "events", "event_id % 97 = 3", _new_events)
+
+
+@query(f"SELECT user_id, count(*) AS n, min(value) AS low, max(value) AS high FROM {_without_and_new('events')} GROUP BY 1")
+def ivm_aggregate(spark, sf_dir):
+    x = f("events", "value")
+    root = n.pipe(n.scan("events"), n.aggregate("g", {"user_id": f("events", "user_id")}, n=n.measure("count"), low=n.measure("minimum", x), high=n.measure("maximum", x)))
+    return _session(spark, sf_dir, root, "events", "event_id % 97 = 3", _new_events)
+
+
+@query(f"SELECT o_orderkey, c_name FROM {_without_and_new('orders')} JOIN customer ON o_custkey = c_custkey")
+def ivm_join(spark, sf_dir):
+    root = n.pipe(n.scan("orders"), n.join(n.scan("customer"), "inner", n.eq(f("orders", "o_custkey"), f("customer", "c_custkey"))), n.select("r", o_orderkey=f("orders", "o_orderkey"), c_name=f("customer", "c_name")))
+    return _session(spark, sf_dir, root, "orders", "o_orderkey % 101 = 7", _new_orders)
+
+
+@query(f"SELECT DISTINCT user_id, event_type FROM {_without_and_new('events')}")
+def ivm_distinct(spark, sf_dir):
+    root = n.pipe(n.scan("events"), n.select("r", user_id=f("events", "user_id"), event_type=f("events", "event_type")), n.distinct())
+    return _session(spark, sf_dir, root, "events", "event_id % 97 = 3", _new_events)
+
+
+@query(f"SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS nth FROM {_without_and_new('events')}")
+def ivm_window(spark, sf_dir):
+    root = n.pipe(n.scan("events"), n.window("events", nth=n.over("row-number", [n.by(f("events", "ts")), n.by(f("events", "event_id"))], [f("events", "user_id")])), n.select("r", event_id=f("events", "event_id"), nth=f("events", "nth")))
+    return _session(spark, sf_dir, root, "events", "event_id % 97 = 3", _new_events)
+
+
+@query(f"SELECT event_id, value FROM {_without_and_new('events')} ORDER BY value DESC, event_id LIMIT 40")
+def ivm_fallback_top(spark, sf_dir):
+    root = n.pipe(n.scan("events"), n.order(n.by(f("events", "value"), "desc"), n.by(f("events", "event_id"))), n.cut(limit=40), n.select("r", event_id=f("events", "event_id"), value=f("events", "value")))
+    return _session(spark, sf_dir, root, "events", "event_id % 97 = 3", _new_events)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 97 = 3 AND event_id % 89 = 5 THEN 'update' WHEN event_id % 97 = 3 THEN 'delete' ELSE 'update' END AS change FROM events WHERE event_id % 97 = 3 OR event_id % 89 = 5""")
+def ivm_snapshot_diff(spark, sf_dir):
+    from lattisca.streaming.maintenance import snapshot_diff
+
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    after = rows.filter("NOT (event_id % 97 = 3) OR event_id % 89 = 5").withColumn("value", F.when(F.expr("event_id % 89 = 5"), F.col("value") + 1).otherwise(F.col("value")))
+    return snapshot_diff(rows, after, ["event_id"])
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE value > 10 GROUP BY 1")
+def stream_observed(spark, sf_dir):
+    """The observer fed by a file stream: the maintained result after all batches."""
+    import uuid
+
+    from lattisca.sources.relations import RelationInput
+    from lattisca.sources.shared import shared_dir
+    from lattisca.streaming.maintenance import Session
+    from lattisca.streaming.observer import Observer
+
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    root = n.pipe(n.scan("events"), n.where(n.compare("gt", f("events", "value"), lit(10))), n.aggregate("g", {"event_type": f("events", "event_type")}, n=n.measure("count")))
+    session = Session(spark, root, {"events": [RelationInput(table.limit(0), ("event_id",))]})
+    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
+    Observer(session).follow(stream, "events", f"{shared_dir(spark)}/follow-{uuid.uuid4().hex}").awaitTermination()
+    return session.rows
+
+
+@query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events WHERE props->>'k' IS NOT NULL")
+def mapping_singleton(spark, sf_dir):
+    from lattisca.sources.mapping import project
+
+    how = {"collection": {"kind": "singleton", "path": [], "absent": "empty"}, "keys": {"k": {"path": ["k"], "type": "bigint"}}, "fields": {}}
+    return project(spark.read.parquet(f"{sf_dir}/events.parquet"), "props", how, ["event_id"])[0]
+
+
+@query("SELECT s_suppkey, i - 1 AS position, 'p' || (s_suppkey * 10 + i) AS name FROM supplier, range(1, 4) t(i)")
+def mapping_array(spark, sf_dir):
+    from lattisca.sources.mapping import project
+
+    docs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(F.concat(F.lit("p"), F.col("s_suppkey") * 10 + i).alias("name"))).alias("parts"))).alias("body"))
+    how = {"collection": {"kind": "array", "path": ["parts"], "absent": "empty"}, "keys": {"name": {"path": ["name"]}}, "fields": {"position": {"kind": "position"}}}
+    return project(docs, "body", how, ["s_suppkey"])[0]
+
+
+@query("SELECT n_nationkey, k, k || '!' AS v FROM nation, (VALUES ('a'), ('b')) t(k)")
+def mapping_object_map(spark, sf_dir):
+    from lattisca.sources.mapping import project
+
+    docs = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.lit('{"m": {"b": {"v": "b!"}, "a": {"v": "a!"}}}').alias("body"))
+    how = {"collection": {"kind": "object-map", "path": ["m"], "absent": "empty"}, "keys": {"k": {"kind": "map-key"}}, "fields": {"v": {"path": ["v"]}}}
+    return project(docs, "body", how, ["n_nationkey"])[0]
+
+
+@query("SELECT r_regionkey, id, parent, position FROM region, (VALUES ('1', NULL, 0::BIGINT), ('2', '1', 1), ('3', '2', 2), ('4', '1', 3), ('5', NULL, 4)) t(id, parent, position)")
+def mapping_recursive_array(spark, sf_dir):
+    from lattisca.sources.mapping import project
+
+    tree = '[{"id": 1, "children": [{"id": 2, "children": [{"id": 3}]}, {"id": 4}]}, {"id": 5, "children": []}]'
+    docs = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", F.lit(tree).alias("body"))
+    how = {"collection": {"kind": "recursive-array", "path": [], "descendants": ["children"], "absent": "empty"}, "keys": {"id": {"path": ["id"]}}, "fields": {"parent": {"kind": "parent"}, "position": {"kind": "position"}}}
+    return project(docs, "body", how, ["r_regionkey"])[0]
+
+
+_STEPS = [
+    {"kind": "lens.field", "from": "o_orderkey", "to": "id", "write": "invertible"},
+    {"kind": "lens.value-map", "from": "o_orderstatus", "to": "state", "cases": [{"from": "F", "to": "finished", "writeBack": "to-from"}, {"from": "O", "to": "open", "writeBack": "to-from"}], "unmapped": "reject"},
+    {"kind": "lens.default", "to": "region", "value": "all", "write": "preserve"},
+    {"kind": "lens.lookup", "from": "o_custkey", "to": "customer", "through": "customer", "sourceFields": ["c_custkey"], "resultFields": ["c_name"], "onMissing": "reject", "onAmbiguous": "reject", "write": "read-only"},
+]
+_SEEN = "o_orderstatus IN ('F', 'O') AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)"
+
+
+def _lens(spark, sf_dir):
+    from lattisca.sources.lens import view
+
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer")}
+    return view(tables["orders"], _STEPS, tables)
+
+
+@query(f"SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'finished' ELSE 'open' END AS state, 'all' AS region, (SELECT c_name FROM customer WHERE c_custkey = o_custkey) AS customer FROM orders WHERE {_SEEN}")
+def lens_view(spark, sf_dir):
+    return _lens(spark, sf_dir)[0]
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE NOT ({_SEEN})")
+def lens_rejected(spark, sf_dir):
+    return _lens(spark, sf_dir)[1].select("o_orderkey")
+
+
+@query("SELECT 'orders.customer' AS code, 'satisfied' AS state, 0::BIGINT AS rows UNION ALL SELECT 'orders.cheap', CASE WHEN count(*) > 0 THEN 'violated' ELSE 'satisfied' END, count(*) FROM orders WHERE o_totalprice < 2000")
+def constraint_check(spark, sf_dir):
+    from lattisca.operators.constraints import check
+
+    orphan = n.pipe(n.scan("orders"), n.join(n.scan("customer"), "anti", n.eq(f("orders", "o_custkey"), f("customer", "c_custkey"))))
+    cheap = n.pipe(n.scan("orders"), n.where(n.compare("lt", f("orders", "o_totalprice"), lit(2000))))
+    found = check(spark, [{"id": "a", "code": "orders.customer", "violationQuery": orphan}, {"id": "b", "code": "orders.cheap", "violationQuery": cheap}], catalog(spark, sf_dir, ["orders", "customer"], KEYS))
+    return spark.createDataFrame([(v.code, v.state, v.rows.count()) for v in found], "code string, state string, rows bigint")
+
+
+@query("SELECT 'customer' AS relation, count(*) AS n FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey % 10 <> 0 UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 0)")
+def referential_cascade(spark, sf_dir):
+    from lattisca.operators.constraints import delete_with_references
+
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders")}
+    tables["lineitem"] = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_key", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    refs = [{"from": "orders", "field": "o_custkey", "to": "customer", "action": "cascade"}, {"from": "lineitem", "field": "l_orderkey", "to": "orders", "action": "cascade"}]
+    after = delete_with_references(tables, {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_key"}, refs, "customer", tables["customer"].filter("c_custkey % 10 = 0").select("c_custkey"))
+    out = None
+    for t, df in after.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("relation"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _store(spark, sf_dir):
+    from lattisca.operators.writes import Store
+
+    return Store(spark, {"supplier": spark.read.parquet(f"{sf_dir}/supplier.parquet")}, {"supplier": ["s_suppkey"]})
+
+
+def _new_suppliers(rows, low=50):
+    return rows.filter(F.col("s_suppkey") >= low).withColumns({"s_suppkey": F.col("s_suppkey") + 25, "s_name": F.concat(F.lit("new "), "s_name")})
+
+
+for _mode, _text in {"replace": "SELECT * FROM supplier s WHERE s_suppkey NOT IN (SELECT s_suppkey FROM n) UNION ALL SELECT * FROM n", "keep-existing": "SELECT * FROM supplier UNION ALL SELECT * FROM n WHERE s_suppkey NOT IN (SELECT s_suppkey FROM supplier)"}.items():
+
+    def _upsert(spark, sf_dir, mode=_mode):
+        from lattisca.operators.writes import transact
+
+        store = _store(spark, sf_dir)
+        transact(store, [{"kind": "upsert", "relation": "supplier", "rows": _new_suppliers(store.tables["supplier"]), "onConflict": mode}])
+        return store.tables["supplier"]
+
+    QUERIES[f"tx_upsert_{_mode.replace('-', '_')}"] = _upsert
+    ORACLES[f"tx_upsert_{_mode.replace('-', '_')}"] = f"WITH n AS (SELECT s_suppkey + 25 AS s_suppkey, 'new ' || s_name AS s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey >= 50) {_text}"
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'No' || s_name[3:] ELSE s_name END AS s_name, s_nationkey, CASE WHEN s_acctbal < 0 THEN s_acctbal + 100 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_nationkey <> 3")
+def tx_update_delete(spark, sf_dir):
+    from lattisca.operators.writes import transact
+
+    store = _store(spark, sf_dir)
+    transact(
+        store,
+        [{"kind": "update", "relation": "supplier", "when": lambda df: df["s_acctbal"] < 0, "edits": {"s_acctbal": {"increment": 100}, "s_name": {"text": [0, 2, "No"]}}}, {"kind": "delete", "relation": "supplier", "when": lambda df: df["s_nationkey"] == 3}],
+        [{"kind": "query", "root": n.scan("supplier"), "expect": "exists"}],
+    )
+    return store.tables["supplier"]
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 7 = 1 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 7 <> 2 UNION ALL SELECT s_suppkey + 100000, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey % 7 = 3")
+def tx_keyed_delta(spark, sf_dir):
+    from lattisca.operators.writes import transact
+
+    store, rows = _store(spark, sf_dir), spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    changes = rows.filter("s_suppkey % 7 = 1").withColumns({"s_acctbal": F.col("s_acctbal") + 1, "change": F.lit("update")}).unionByName(rows.filter("s_suppkey % 7 = 2").withColumn("change", F.lit("delete"))).unionByName(rows.filter("s_suppkey % 7 = 3").withColumns({"s_suppkey": F.col("s_suppkey") + 100000, "change": F.lit("insert")}))
+    transact(store, [{"kind": "keyed-delta", "relation": "supplier", "rows": changes}])
+    return store.tables["supplier"]
+
+
+@query("SELECT * FROM supplier UNION ALL SELECT s_suppkey + 500000, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 9000")
+def tx_insert_from_query(spark, sf_dir):
+    from lattisca.operators.writes import transact
+
+    x = lambda a: f("supplier", a)
+    store = _store(spark, sf_dir)
+    rich = n.pipe(n.scan("supplier"), n.where(n.compare("gt", x("s_acctbal"), lit(9000))), n.with_fields("supplier", s_suppkey=n.call("shifted", x("s_suppkey"))))
+    rows = evaluate(spark, rich, store.inputs(), functions={("shifted", "1"): (lambda k: k + 500000, T.LongType())}).df
+    transact(store, [{"kind": "insert", "relation": "supplier", "rows": rows}])
+    return store.tables["supplier"]
+
+
+@query("SELECT 'supplier' AS relationId, name AS field FROM (VALUES ('s_suppkey'), ('s_name'), ('s_nationkey'), ('s_acctbal')) t(name)")
+def system_schemas(spark, sf_dir):
+    from lattisca.sources.system import system_relations
+
+    own = system_relations(spark, catalog(spark, sf_dir, ["supplier"], KEYS))
+    return evaluate(spark, n.pipe(n.scan("system.schemas", "s"), n.select("r", relationId=f("s", "relationId"), field=f("s", "field"))), own).df
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0")
+def schema_parsed(spark, sf_dir):
+    from lattisca.sources.schema import parse_rows
+
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").withColumn("s_name", F.when(F.col("s_acctbal") >= 0, F.col("s_name")))
+    relation = {"relationId": "supplier", "key": ["s_suppkey"], "fields": {"s_suppkey": {"type": {"kind": "integer"}}, "s_name": {"type": {"kind": "string"}}}}
+    return parse_rows(rows, relation)[0].select("s_suppkey")
