@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Labelled documents that the model is fitted on, taken by hash of doc_id; tokens of the gradient steps; most stems.
-SAMPLE, TOKENS, STEMS = 12_000, 400_000, 400
+SAMPLE, TOKENS, STEMS = 8_000, 400_000, 400
 THRESHOLD, STEPS, SEGMENT, CACHE = 0.7, 60, 128, 400_000
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -153,7 +153,8 @@ def pick_stems(docs: list[list[str]], toxic: list[int], most: int = STEMS) -> li
 
 def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Model:
     """A model of labelled texts. Without a toxic or without a clean text, all scores are that label's share."""
-    docs = [words_of(t) for t in texts]
+    one: dict[str, str] = {}  # equal words are one object: the sample has few distinct ones
+    docs = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]
     picked = pick_stems(docs, toxic)
     number = {s: k for k, s in enumerate(picked)}
     order = np.random.default_rng(0).permutation(len(docs)) if docs else []
