@@ -68,7 +68,7 @@ def delete_with_references(tables: dict[str, DataFrame], keys: dict[str, str], r
         raise WriteError("constraint.budget_exceeded")
     out = dict(tables)
     for t, f, which in emptied:
-        names = which.toDF("__gone").withColumn("__hit", which[which.columns[0]].isNotNull())
+        names = which.toDF("__gone").selectExpr("__gone", "true AS __hit").distinct()
         joined = out[t].join(names, out[t][f] == names["__gone"], "left")
         out[t] = joined.selectExpr(*[f"CASE WHEN __hit THEN NULL ELSE `{c}` END AS `{c}`" if c == f else f"`{c}`" for c in out[t].columns])
     return {t: df.join(doomed[t], keys[t], "left_anti").select(*df.columns) if t in doomed else df for t, df in out.items()}
