@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lattisca.llm.common import spool
 
 #: Bytes of text of a chunk and, of all texts, for each bucket. With much more data take more of both, so that their product of rows stays small.
-CHUNK, BUCKET = 16_000_000, 12_000_000
+CHUNK, BUCKET = 6_000_000, 10_000_000
 
 Docs = list[tuple[int | None, bytes | None]]
 
@@ -78,7 +78,7 @@ class Words(dict):
     """XXH64 of each word, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
