@@ -10,8 +10,11 @@ the chunks whose second choices lose least. Where to cut is checked against the
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql.types import StructType
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N = 3
 #: Chunks that a task remembers; what an unknown character scores below the worst piece.
-CACHE, UNKNOWN = 300_000, 10.0
+CACHE, UNKNOWN = 450_000, 10.0
 
 SPACE = "▁"
 _LETTER = "A-Za-zÀ-ɏ"
@@ -58,12 +61,34 @@ def n_best(size: int, edges: list[list[tuple[int, float, int]]], n: int) -> list
     return out
 
 
+_IDS, _SCORE, _GAP = itemgetter(0), itemgetter(1), itemgetter(2)
+
+
+class Chunks(dict):
+    """The best segmentation of each chunk, remembered up to a bound."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, chunk: str) -> tuple[list[int], float, float]:
+        if len(self) > CACHE:
+            self.clear()
+        self[chunk] = found = self.vocabulary.two_best(chunk)
+        return found
+
+
 class Vocabulary:
     """Pieces with scores. A character that no piece has is one unknown edge, which stands for its UTF-8 bytes."""
 
     def __init__(self, pieces: list[tuple[str, float]], ids: list[int], byte_ids: list[int]):
         self.piece = dict(zip((p for p, _ in pieces), zip(ids, (s for _, s in pieces))))
-        self.starts = {p[:k] for p, _ in pieces for k in range(1, len(p) + 1)}
+        self.trie: dict = {}  # by character; at 0 the piece that ends there
+        for p, (i, score) in self.piece.items():
+            at = self.trie
+            for c in p:
+                at = at.setdefault(c, {})
+            at[0] = (score, i)
         self.unknown = min((s for _, s in pieces if s > -1e8), default=0.0) - UNKNOWN
         self.byte_ids = byte_ids
         self.text = {i: p.replace(SPACE, " ") for (p, _), i in zip(pieces, ids)}
@@ -83,57 +108,90 @@ class Vocabulary:
         mapped = chunk.replace(SPACE, "\0").replace(" ", SPACE)
         n, edges = len(mapped), [[] for _ in range(len(mapped) + 1)]
         for i in range(n):
-            known = False
-            for j in range(i + 1, n + 1):
-                p = mapped[i:j]
-                if p not in self.starts:
+            at = self.trie
+            for j in range(i, n):
+                at = at.get(mapped[j])
+                if at is None:
                     break
-                found = self.piece.get(p)
-                if found:
-                    edges[j].append((i, found[1], found[0]))
-                    known |= j == i + 1
-            if not known:
+                if 0 in at:
+                    edges[j + 1].append((i, *at[0]))
+            if not edges[i + 1] or edges[i + 1][-1][0] != i:
                 edges[i + 1].append((i, self.unknown, -ord(chunk[i]) - 1))
         return edges
 
+    def two_best(self, chunk: str) -> tuple[list[int], float, float]:
+        """Ids and score of the best segmentation, and how much less the second best scores (infinity if there is none): one forward pass that keeps two scores a place."""
+        mapped = chunk.replace(SPACE, "\0").replace(" ", SPACE)
+        n, trie, low = len(mapped), self.trie, -np.inf
+        best, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            b, b2, at, k, known = best[i], second[i], trie, i, False
+            for c in mapped[i:]:
+                at = at.get(c)
+                if at is None:
+                    break
+                k += 1
+                edge = at.get(0)
+                if edge:
+                    s = b + edge[0]
+                    was = best[k]
+                    if s > was:
+                        s2 = b2 + edge[0]
+                        second[k] = s2 if s2 > was else was
+                        best[k], back[k] = s, (i, edge[1])
+                    elif s > second[k]:
+                        second[k] = s
+                    if k == i + 1:
+                        known = True
+            if not known:
+                s, k = b + self.unknown, i + 1
+                if s > best[k]:
+                    second[k] = max(best[k], b2 + self.unknown)
+                    best[k], back[k] = s, (i, -ord(chunk[i]) - 1)
+                elif s > second[k]:
+                    second[k] = s
+        labels, j = [], n
+        while j:
+            j, label = back[j]
+            labels.append(label)
+        labels.reverse()
+        return (labels if min(labels) >= 0 else self.ids(labels)), best[n], best[n] - second[n]
+
     def ids(self, labels: list[int]) -> list[int]:
         return [k for x in labels for k in ([x] if x >= 0 else [self.byte_ids[b] for b in chr(-x - 1).encode("utf-8", "surrogatepass")])]
 
     def segment(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
         return [(s, self.ids(x)) for s, x in n_best(len(chunk), self.lattice(chunk), n)]
 
-    def _search(self, text: str, n: int, cache: dict):
-        """Chunk results of a text, its best score, and the n best as (score lost, choice by chunk number)."""
-        if len(cache) > CACHE:
-            cache.clear()
-        parts = []
-        for c in self.cut.findall(" " + text):
-            own = cache.get(c)
-            if own is None:
-                found = self.segment(c, n)
-                own = cache[c] = (found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf, found)
-            parts.append(own)
+    def _search(self, text: str, n: int, cache: Chunks):
+        """Chunk results of a text, its best score, and the n best as (score lost, ids by chunk number)."""
+        chunks = self.cut.findall(" " + text)
+        parts = list(map(cache.__getitem__, chunks))
         ways = [(0.0, {})]
         if n > 1:
             # Only the n - 1 chunks whose second choice loses least can differ from the best in the n best.
-            loose = np.sort(np.argsort(np.array([own[2] for own in parts]), kind="stable")[: n - 1]).tolist()
-            edges = [[], *[[(k, s - parts[at][1], v) for v, (s, _) in enumerate(parts[at][3])] for k, at in enumerate(loose)]]
-            ways += [(lost, dict(zip(loose, choice))) for lost, choice in n_best(len(loose), edges, n)[1:]]
-        return parts, sum([own[1] for own in parts]), ways
-
-    def encode(self, text: str | None, n: int = N, cache: dict | None = None) -> list[tuple[float, list[int]]]:
+            gaps = np.fromiter(map(_GAP, parts), dtype=float, count=len(parts))
+            loose = np.argpartition(gaps, n - 2)[: n - 1].tolist() if len(gaps) >= n else list(range(len(gaps)))
+            loose = sorted(at for at in loose if gaps[at] < np.inf)
+            others = [self.segment(chunks[at], n) for at in loose]
+            edges = [[], *[[(k, s - own[0][0], v) for v, (s, _) in enumerate(own)] for k, own in enumerate(others)]]
+            ways += [(lost, {at: own[v][1] for at, own, v in zip(loose, others, choice)}) for lost, choice in n_best(len(loose), edges, n)[1:]]
+        return parts, sum(map(_SCORE, parts)), ways
+
+    def encode(self, text: str | None, n: int = N, cache: Chunks | None = None) -> list[tuple[float, list[int]]]:
         """The n best segmentations as (score, ids), best first; one empty segmentation of a null or empty text."""
         if not text:
             return [(0.0, [])]
-        parts, total, ways = self._search(text, n, {} if cache is None else cache)
-        return [(total + lost, [k for i, own in enumerate(parts) for k in (own[3][at[i]][1] if i in at else own[0])]) for lost, at in ways]
+        parts, total, ways = self._search(text, n, Chunks(self) if cache is None else cache)
+        return [(total + lost, [k for i, own in enumerate(parts) for k in at.get(i, own[0])]) for lost, at in ways]
 
-    def ranked(self, text: str, n: int, cache: dict) -> tuple[list[float], list[int]]:
+    def ranked(self, text: str, n: int, cache: Chunks) -> tuple[list[float], list[int]]:
         """Scores of the n best segmentations, and the ids of the best."""
         if not text:
             return [0.0], []
         parts, total, ways = self._search(text, n, cache)
-        return [total + lost for lost, _ in ways], [k for own in parts for k in own[0]]
+        return [total + lost for lost, _ in ways], list(chain.from_iterable(map(_IDS, parts)))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, exactly as it was encoded."""
@@ -141,27 +199,28 @@ class Vocabulary:
             return ""
         text, byte_of = self.text, self.byte_of
         try:
-            return "".join([text[i] for i in ids])[1:]
+            return "".join(map(text.__getitem__, ids))[1:]
         except KeyError:
             raw = b"".join(bytes([byte_of[i]]) if i in byte_of else text[i].encode() for i in ids)
             return raw.decode("utf-8", "surrogatepass")[1:]
 
 
 def encode_table(docs: DataFrame, path: str = MODEL, n: int = N) -> DataFrame:
-    """docs with n_tokens, ids (the best segmentation), scores (of the n best, best first) and decoded (ids read back).
+    """docs with n_tokens, ids (the best segmentation), ids_sha256 (of the ids as 32-bit little-endian integers), scores (of the n best, best first) and decoded (ids read back).
 
     The vocabulary is read on the driver and broadcast: it has a fixed number of pieces. Texts are encoded whole. A null
-    text has null ids, scores and decoded and 0 tokens; an empty one has none of length 0. Texts with one segmentation
+    text has null ids, digest, scores and decoded and 0 tokens; an empty one has none of length 0. Texts with one segmentation
     have one score. Ties between segmentations go to any, always the same. Repeated rows each get a row, an empty table
     none; other columns stay, those named like an output are replaced.
     """
-    names = ["n_tokens", "ids", "scores", "decoded"]
+    names = ["n_tokens", "ids", "ids_sha256", "scores", "decoded"]
     out = docs.drop(*names)
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
-    schema = StructType(out.schema.fields + StructType.fromDDL("n_tokens bigint, ids array<int>, scores array<double>, decoded string").fields)
+    schema = StructType(out.schema.fields + StructType.fromDDL("n_tokens bigint, ids array<int>, ids_sha256 string, scores array<double>, decoded string").fields)
 
     def encoded(batches):
-        v, cache = held.value, {}
+        v = held.value
+        cache = Chunks(v)
         for whole in batches:
             for a in range(0, whole.num_rows, 200):
                 batch = whole.slice(a, 200)
@@ -173,10 +232,12 @@ def encode_table(docs: DataFrame, path: str = MODEL, n: int = N) -> DataFrame:
                     if t is not None:
                         scores[-1], ids[-1] = v.ranked(t, n, cache)
                 sizes = np.array([0 if i is None else len(i) for i in ids], dtype=np.int64)
-                flat = np.concatenate([np.zeros(0, dtype=np.int32), *[np.array(i, dtype=np.int32) for i in ids if i]])
+                packed = [None if i is None else np.array(i, dtype="<i4") for i in ids]
+                flat = np.concatenate([np.zeros(0, dtype="<i4"), *[i for i in packed if i is not None]])
+                digests = [None if i is None else hashlib.sha256(i.tobytes()).hexdigest() for i in packed]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat), mask=pa.array([i is None for i in ids]))
                 back = [None if i is None else v.decode(i) for i in ids]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), lists, pa.array(scores, pa.list_(pa.float64())), pa.array(back, pa.string())], names=[*batch.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), lists, pa.array(digests, pa.string()), pa.array(scores, pa.list_(pa.float64())), pa.array(back, pa.string())], names=[*batch.schema.names, *names])
 
     return out.mapInArrow(encoded, schema)
 

@@ -45,7 +45,7 @@ def op7_sentencepiece(spark, sf_dir):
     from lattisca.llm.pieces import encode_table
 
     out = encode_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_tokens", "scores", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "ids")
+    return out.select("doc_id", "n_tokens", "scores", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"), "ids_sha256", "ids")
 
 
 def op8_nearest_neighbours(spark, sf_dir):
