@@ -75,6 +75,16 @@ def op10_substring_dedup(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_decontamination, op4_chat_formatting, op5_simhash, op6_line_dedup, op7_sentencepiece, op8_nearest_neighbours, op9_language_model, op10_substring_dedup)}
 
 ORACLES = {
+    "op10_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM d WHERE len(ws) >= 50)),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM w JOIN m USING (s) WHERE low < doc_id),
+l AS (SELECT doc_id, list(q) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE [ws[i] for i in range(1, len(ws) + 1) if NOT list_contains(gone, i)] END, ' ')) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+""",
     "op8_nearest_neighbours": """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

@@ -19,6 +19,8 @@ from lattisca.llm.common import spool
 from lattisca.llm.components import components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
+#: For whole texts: bits that may differ where the texts themselves are then compared, and the similarity that they need.
+WIDE, SIMILAR = 6, 0.8
 #: Bits of each field whose population count is part of a tile's key; fingerprints of one piece of a tile.
 FIELDS, PIECE = (11, 11, 11, 11, 10, 10), 4096
 
@@ -74,52 +76,54 @@ def _steps(fields=FIELDS, radius: int = RADIUS) -> list[int]:
 
 
 def forest(left: np.ndarray, right: np.ndarray | None, radius: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the radius between two sets of fingerprints (or inside one), thinned to a spanning forest."""
-    other = left if right is None else right
-    names = np.concatenate([left, other]) if right is not None else left
-    parent = np.arange(len(names))
-    shift = 0 if right is None else len(left)
-    us, vs = [], []
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    """Links within the radius between two sets of fingerprints, or inside one, thinned to a spanning forest."""
+    names = left if right is None else np.concatenate([left, right])
+    other, shift = (left, 0) if right is None else (right, len(left))
+    root, us, vs = np.arange(len(names)), [], []
     for a in range(0, len(left), block):
         for b in range(a if right is None else 0, len(other), block):
             i, j = np.nonzero(np.bitwise_count(left[a : a + block, None] ^ other[None, b : b + block]) <= radius)
             i, j = i + a, j + b + shift
-            if right is None:
-                i, j = i[i < j], j[i < j]
-            while len(i):  # whole batches of links whose ends already share a root drop out at once
-                roots = np.array([find(x) for x in range(len(names))]) if len(i) > len(names) else None
-                if roots is not None:
-                    apart = roots[i] != roots[j]
-                    i, j = i[apart], j[apart]
-                    _, first = np.unique(roots[i], return_index=True)
-                    now, later = first, np.setdiff1d(np.arange(len(i)), first)
-                else:
-                    now, later = np.arange(len(i)), np.zeros(0, dtype=np.int64)
-                for x, y in zip(i[now].tolist(), j[now].tolist()):
-                    p, q = find(x), find(y)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        us.append(x)
-                        vs.append(y)
-                i, j = i[later], j[later]
-    return names[np.array(us, dtype=np.int64)], names[np.array(vs, dtype=np.int64)]
+            while True:
+                high, low = np.maximum(root[i], root[j]), np.minimum(root[i], root[j])
+                apart = np.flatnonzero(high != low)
+                if not len(apart):
+                    break
+                # Every root but the smallest of its links hangs itself on a smaller one, by one link.
+                i, j, high, low = i[apart], j[apart], high[apart], low[apart]
+                own, first = np.unique(high, return_index=True)
+                us.append(i[first])
+                vs.append(j[first])
+                parent = np.arange(len(names))
+                parent[own] = low[first]
+                while (up := parent[parent]).tolist() != parent.tolist():
+                    parent = up
+                root = parent[root]
+    at = np.concatenate([np.zeros(0, dtype=np.int64), *us]), np.concatenate([np.zeros(0, dtype=np.int64), *vs])
+    return names[at[0]], names[at[1]]
 
 
 def links(fps: DataFrame, radius: int = RADIUS, fields=FIELDS, piece: int = PIECE) -> DataFrame:
     """(u, v): a spanning forest, per pair of tile pieces, of the links between distinct fingerprints (fp) within the radius."""
-    keyed = fps.withColumn("tile", _tile_key(fields))
+    return _compared(fps.withColumn("tile", _tile_key(fields)), _steps(fields, radius), radius, piece)
+
+
+def wide_links(fps: DataFrame, radius: int = WIDE, piece: int = PIECE) -> DataFrame:
+    """links() for a wider radius r, where the counts of fields skip little: fingerprints within it agree on one of r + 1 segments,
+    so tiles are made, once a segment, of equal segments and equal population counts, and tile pairs of one segment are skipped by their counts."""
+    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
+    pop = F.bit_count("fp").cast("bigint")
+    own = [((F.lit(k).cast("bigint") * 2**20 + F.shiftrightunsigned(F.col("fp"), a).bitwiseAND((1 << (b - a)) - 1)) * 128 + pop) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    return _compared(fps.select("fp", F.explode(F.array(*own)).alias("tile")), list(range(radius + 1)), radius, piece)
+
+
+def _compared(keyed: DataFrame, steps: list[int], radius: int, piece: int) -> DataFrame:
+    """Forests of the links in keyed (fp, tile): inside each tile, and between tiles whose numbers differ by one of steps."""
     counts = keyed.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces"))
     cut = keyed.join(counts, "tile").withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
     pieces = cut.groupBy("tile", "piece").agg(F.sort_array(F.collect_list("fp")).alias("fps"))  # about ``piece`` fingerprints each
     inner = pieces.filter(F.size("fps") > 1).select("fps", F.lit(None).cast("array<bigint>").alias("others"))
-    near = pieces.select("tile", "piece", "fps", F.explode(F.array(*[F.lit(s).cast("bigint") for s in _steps(fields, radius)])).alias("step"))
+    near = pieces.select("tile", "piece", "fps", F.explode(F.array(*[F.lit(s).cast("bigint") for s in steps])).alias("step"))
     near = near.select((F.col("tile") + F.col("step")).alias("to"), "step", "piece", "fps")
     other = pieces.select(F.col("tile").alias("to"), F.col("piece").alias("other_piece"), F.col("fps").alias("others"))
     across = near.join(other, "to").filter("step != 0 OR piece < other_piece").select("fps", "others")
@@ -129,19 +133,45 @@ def links(fps: DataFrame, radius: int = RADIUS, fields=FIELDS, piece: int = PIEC
             us, vs = [], []
             for a, b in zip(batch.column("fps"), batch.column("others")):
                 u, v = forest(a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64) if b.is_valid else None, radius)
-                us.append(u)
-                vs.append(v)
-            u, v = np.concatenate(us), np.concatenate(vs)
-            for k in range(0, len(u), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(u[k : k + 100_000].view(np.int64)), pa.array(v[k : k + 100_000].view(np.int64))], names=["u", "v"])
+                if len(u):
+                    us.append(u)
+                    vs.append(v)
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                for k in range(0, len(u), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(u[k : k + 100_000].view(np.int64)), pa.array(v[k : k + 100_000].view(np.int64))], names=["u", "v"])
 
     return inner.unionByName(across).mapInArrow(compared, "u bigint, v bigint")
 
 
-def _classes(rows: DataFrame, radius: int, fields) -> DataFrame:
-    """(fp, root) of each distinct fingerprint of rows: its connected component."""
+def similarity(a: bytes | None, b: bytes | None, width: int = 5) -> float:
+    """Jaccard similarity of the sets of ``width``-word shingles, a shorter text being one; 1 for two texts without words."""
+    sets = []
+    for text in (a, b):
+        words = text.translate(_LOWER).split() if text else []
+        sets.append({tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] or sets[1] else 1.0
+
+
+def similar(edges: DataFrame, texts: DataFrame, least: float, width: int = 5) -> DataFrame:
+    """The edges (u, v) whose texts, of texts (fp, text), are at least so similar."""
+    a, b = (texts.select(F.col("fp").alias(e), F.col("text").alias("text_" + e)) for e in ("u", "v"))
+    pairs = edges.distinct().join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v")
+
+    def checked(batches):
+        for batch in batches:
+            u, v = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_u", "text_v"))
+            kept = pa.array([similarity(x, y, width) >= least for x, y in zip(u, v)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(kept), batch.column("v").filter(kept)], names=["u", "v"])
+
+    return pairs.mapInArrow(checked, "u bigint, v bigint")
+
+
+def _classes(rows: DataFrame, radius: int, fields, more: DataFrame | None = None) -> DataFrame:
+    """(fp, root) of each distinct fingerprint of rows: its connected component over links within the radius, and more (u, v)."""
     distinct = rows.select("fp").distinct()
-    roots = spool(components(links(distinct, radius, fields)), "roots")
+    edges = links(distinct, radius, fields)
+    roots = spool(components(edges if more is None else edges.unionByName(more)), "roots")
     return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -162,13 +192,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, fields=FIELDS) -> Dat
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = RADIUS, fields=FIELDS) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id, then the smallest hash of the text; null ids come last."""
+def representatives(docs: DataFrame, radius: int = RADIUS, fields=FIELDS, wide: int = WIDE, least: float = SIMILAR) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id, then the smallest hash of the text; null ids come last.
+
+    Groups are connected by fingerprints of at most ``radius`` differing bits, and by those of at most ``wide`` whose texts have
+    a similarity of at least ``least`` on five-word shingles. Texts without words are alike; an empty table gives none.
+    """
     rows = spool(fingerprints(docs), "fingerprints")
-    classes = spool(_classes(rows, radius, fields), "classes")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("hash").alias("h"))
-    lowest = rows.groupBy("fp").agg(F.min(place).alias("low")).join(classes, "fp").groupBy("root").agg(F.min("low").alias("low"))
-    kept = lowest.select(F.col("low.i").alias("__i"), F.col("low.h").alias("__h"))
+    first = spool(rows.groupBy("fp").agg(F.min(place).alias("low")), "first")
     at = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "__h": F.xxhash64("text")})
-    kept = kept.select(F.coalesce("__i", F.lit(-(2**63))).alias("__d"), "__h")
+    own = lambda df: df.withColumns({"__d": F.coalesce("low.i", F.lit(-(2**63))), "__h": F.col("low.h")}).drop("low")
+    loose = spool(wide_links(first.select("fp"), wide).distinct(), "loose")
+    ends = loose.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    texts = at.select("__d", "__h", "text").join(own(first.join(ends, "fp")), ["__d", "__h"]).dropDuplicates(["fp"]).select("fp", "text")
+    classes = _classes(rows, radius, fields, similar(loose, spool(texts, "texts"), least))
+    kept = own(first.join(classes, "fp").groupBy("root").agg(F.min("low").alias("low"))).select("__d", "__h")
     return at.join(kept, ["__d", "__h"], "left_semi").dropDuplicates(["__d", "__h"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -252,7 +252,7 @@ def test_simhash(spark, docs, rows, none):
             low[f] = min(low.get(f, i), i)
     want = sorted(((i or 0, f"{_fingerprint(t):016x}", low.get(find(_fingerprint(t)))) for i, t in rows), key=str)
     assert sorted(((r.doc_id or 0, r.fingerprint, r.component_id) for r in got), key=str) == want
-    kept = simhash.representatives(docs).collect()
+    kept = simhash.representatives(docs, least=1.1).collect()
     assert len(kept) == len({find(_fingerprint(t)) for _, t in rows}) and {r.doc_id for r in kept} == set(low.values())
     assert simhash.near_duplicates(none).count() == 0 and simhash.representatives(none).count() == 0
 
@@ -410,3 +410,39 @@ def test_substring_dedup(docs, rows, none):
         got = repeats.remove_repeats(docs, **options).collect()
         assert sorted(((r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == sorted(want, key=str)
     assert removed > 1000 and repeats.remove_repeats(none).count() == 0
+
+
+def test_representatives_join_similar_texts(spark):
+    base = [f"word{i}" for i in range(300)]
+    edit = lambda *at: " ".join(f"other{i}" if i in at else w for i, w in enumerate(base))
+    far = " ".join(f"far{i}" for i in range(200))
+    rows = [(9, edit()), (4, edit(7, 150)), (6, edit(5)), (5, edit(*range(0, 300, 6))), (8, far), (7, far), (7, far), (None, far), (3, ""), (2, None)]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("fp", F.lit(0)))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 7]
+    assert simhash.similarity(edit().encode(), edit(7).encode()) == pytest.approx(291 / 301)
+    assert simhash.similarity(None, b" ") == 1.0 and simhash.similarity(b"A b", b"a  B") == 1.0 and simhash.similarity(b"a", None) == 0.0
+
+
+def test_wide_links_reach_all_within_the_radius(spark):
+    rng = random.Random(11)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    for f in list(fps):
+        for _ in range(4):
+            for _ in range(6):
+                f ^= 1 << rng.randrange(64)
+            fps.append(f)
+    signed = sorted({f - 2**64 if f >= 2**63 else f for f in fps})
+    got = {r.node: r.root for r in components.components(simhash.wide_links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), 6, piece=4)).collect()}
+    root = {f: f for f in signed}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in signed:
+        for b in signed:
+            if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 6:
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    assert all(got.get(f, f) == find(f) for f in signed)
