@@ -61,9 +61,6 @@ class Lowered:
         return F.lit(True) if none is None else ~none
 
 
-NEVER = F.lit
-
-
 def _type_of(value) -> T.DataType:
     if value is None:
         return T.NullType()
@@ -137,7 +134,7 @@ class Lowering:
         return self.meta.get((e["alias"], "key")) or self.scope.get(e["alias"], {}).get("id") or _nothing()
 
     def _source_of(self, e):
-        return self.meta.get((e["alias"], "source")) or _nothing()
+        return self.meta.get((e["alias"], "source")) or Lowered(F.lit(None).cast("string"), T.StringType(), missing=F.lit(True))
 
     def _compare(self, e):
         left, right, op = self(e["left"]), self(e["right"]), e["op"]

@@ -103,6 +103,12 @@ class Store:
     keys: dict[str, list[str]]
     version: int = 0
     receipts: list[dict] = field(default_factory=list)
+    subscribers: list[Callable[[int], None]] = field(default_factory=list)
+
+    def subscribe(self, hear: Callable[[int], None]) -> Callable[[], None]:
+        """Calls hear with each new version; the function returned ends it."""
+        self.subscribers.append(hear)
+        return lambda: self.subscribers.remove(hear)
 
     def inputs(self, tables: dict[str, DataFrame] | None = None) -> dict[str, list[RelationInput]]:
         return {t: [RelationInput(df, tuple(self.keys[t]), basis=self.version)] for t, df in (tables or self.tables).items()}
@@ -112,6 +118,8 @@ class Store:
             raise WriteError("write.basis_stale")
         self.tables, self.version = tables, self.version + 1
         self.receipts.append({"version": self.version, "label": label})
+        for hear in list(self.subscribers):
+            hear(self.version)
         return self.version
 
 
@@ -185,6 +193,19 @@ def transact(store: Store, statements: list[Callable | dict], guards: list[dict]
     raise WriteError("write.basis_stale")
 
 
+def sequence(store: Store, transactions: list[list[dict]], stop: bool = True) -> list[dict]:
+    """Transactions one after another, each on its own: a receipt {version} or {error} for each. stop: none is tried after one that fails; otherwise all are."""
+    out: list[dict] = []
+    for statements in transactions:
+        try:
+            out.append({"version": transact(store, statements)["version"]})
+        except WriteError as e:
+            out.append({"error": str(e)})
+            if stop:
+                break
+    return out
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """rows with ``__n``, distinct numbers from 0. Counts of partitions make them gapless without ordering rows in one task."""
     at = spool(rows, "numbered").withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id() % (1 << 33)})

@@ -282,27 +282,23 @@ class Engine:
     def _distinct(self, node, keys, outer):
         return self.unique(self.lower(node["input"], keys, outer), keys)
 
-    def flat(self, frame: Frame, keys: bool, like: list | None = None) -> tuple[DataFrame, list[str], Scope]:
-        """frame with one physical column for each value and flag, in order of name: the form in which rows are compared."""
-        columns, names, scope = [], [], {}
-        for a, f, x in frame.columns() if like is None else [(a, f, frame.scope[a].get(f) or Lowered(F.lit(None).cast(t), t, F.lit(True))) for a, f, t in like]:
+    def flat(self, frame: Frame, keys: bool, like: list | None = None, more: dict[str, Column] | None = None) -> tuple[DataFrame, list[str], Scope]:
+        """frame with one physical column for each value and flag, in order of name: the form in which rows are compared.
+
+        like: the (alias, field, type) of a shape that is shared with another frame, flags and all; more: columns that ride along.
+        """
+        shape = [(a, f, x.type) for a, f, x in frame.columns()] if like is None else like
+        columns: dict[str, Column] = {}
+        scope: Scope = {a: {} for a in frame.scope}
+        for a, f, kind in shape:
+            x = frame.scope[a].get(f) or Lowered(F.lit(None).cast(kind), kind, F.lit(True))
             at = f"{a}/{f}"
-            kind = x.type if like is None else next(t for p, q, t in like if (p, q) == (a, f))
-            parts = [(at, x.value if x.type == kind else x.value.cast(kind))]
-            flags = {}
-            for k in ("missing", "unknown"):
-                c = getattr(x, k)
-                if c is not None or like is not None:
-                    parts.append((f"{at}?{k}", F.lit(False) if c is None else c))
-                    flags[k] = name(f"{at}?{k}")
-            columns += [c.alias(n) for n, c in parts]
-            names += [n for n, _ in parts]
-            scope.setdefault(a, {})[f] = Lowered(name(at), kind, flags.get("missing"), flags.get("unknown"))
-        for a in frame.scope:
-            scope.setdefault(a, {})
-        if keys:
-            columns += [frame.ids[a].alias(f"#id/{a}") for a in sorted(frame.ids)]
-        return frame.df.select(*columns), names, scope
+            columns[at] = x.value if x.type == kind else x.value.cast(kind)
+            flags = {k: getattr(x, k) for k in ("missing", "unknown") if like is not None or getattr(x, k) is not None}
+            columns |= {f"{at}?{k}": F.lit(False) if c is None else c for k, c in flags.items()}
+            scope[a][f] = Lowered(name(at), kind, *(name(f"{at}?{k}") if k in flags else None for k in ("missing", "unknown")))
+        ids = {f"#id/{a}": frame.ids[a] for a in sorted(frame.ids)} if keys else {}
+        return frame.df.select(*[c.alias(n) for n, c in (columns | ids | (more or {})).items()]), list(columns), scope
 
     def unique(self, frame: Frame, keys: bool, last: bool = False) -> Frame:
         df, names, scope = self.flat(frame, keys)
@@ -330,31 +326,13 @@ class Engine:
         return {a: {f: Lowered(x.value, x.type, x.missing if may(a, f, "missing") else None, x.unknown if may(a, f, "unknown") else None) for f, x in fields.items()} for a, fields in scope.items()}
 
     def stack(self, left: Frame, right: Frame, keys: bool) -> Frame:
+        """Rows of both; what is known of their sources rides along."""
         like = self.shared_shape(left, right)
-        (a, _, scope), (b, _, _) = self.flat(left, keys, like), self.flat(right, keys, like)
-        meta = {}
-        for k in right.meta | left.meta:
-            at = f"#meta/{k[0]}/{k[1]}"
-            meta[k] = at
-        if meta:  # sources ride along with the rows
-            a = self._flat_with(left, keys, like, meta)
-            b = self._flat_with(right, keys, like, meta)
-        ids = {x: name("#id", x) for x in left.ids} if keys else {}
-        return Frame(a.unionByName(b), self._trim(scope, left, right), ids, None, {k: Lowered(name(at), T.StringType(), name(at).isNull()) for k, at in meta.items()})
-
-    def _flat_with(self, frame: Frame, keys: bool, like: list, meta: dict) -> DataFrame:
-        extra = [(frame.meta[k].value if k in frame.meta else F.lit(None).cast("string")).alias(at) for k, at in meta.items()]
-        wide = replace(frame, df=frame.df.select("*", *extra))
-        picked = self.flat(wide, keys, like)[0].columns
-        flat = {}
-        for a, f, t in like:
-            x = frame.scope[a].get(f) or Lowered(F.lit(None).cast(t), t, F.lit(True))
-            flat[f"{a}/{f}"] = x.value if x.type == t else x.value.cast(t)
-            flat[f"{a}/{f}?missing"] = F.lit(False) if x.missing is None else x.missing
-            flat[f"{a}/{f}?unknown"] = F.lit(False) if x.unknown is None else x.unknown
-        if keys:
-            flat |= {f"#id/{a}": frame.ids[a] for a in frame.ids}
-        return wide.df.select(*[flat[c].alias(c) for c in picked], *[name(at) for at in meta.values()])
+        meta = {k: f"#{k[1]}/{k[0]}" for k in left.meta | right.meta}
+        sides = [self.flat(s, keys, like, {at: s.meta[k].value if k in s.meta else F.lit(None).cast("string") for k, at in meta.items()}) for s in (left, right)]
+        ids = {a: name("#id", a) for a in left.ids} if keys else {}
+        known = {k: Lowered(name(at), T.StringType(), name(at).isNull()) for k, at in meta.items()}
+        return Frame(sides[0][0].unionByName(sides[1][0]), self._trim(sides[0][2], left, right), ids, None, known)
 
     def _set(self, node, keys, outer):
         left, right = self.lower(node["left"], keys, outer), self.lower(node["right"], keys, outer)

@@ -54,11 +54,30 @@ def _subtract(df: DataFrame, removed: DataFrame, key: tuple[str, ...]) -> DataFr
     return df.join(gone, test, "left_anti")
 
 
+def bag_minus(rows: DataFrame, removed: DataFrame) -> DataFrame:
+    """rows without removed, counting duplicates. Only rows equal to a removed one are grouped; the others pass a join against the small side."""
+    gone = removed.distinct().select(*[F.col(f"`{c}`").alias(f"#{i}") for i, c in enumerate(rows.columns)])
+    test = F.lit(True)
+    for i, c in enumerate(rows.columns):
+        test = test & F.col(f"`{c}`").eqNullSafe(F.col(f"`#{i}`"))
+    return rows.join(gone, test, "left_anti").unionByName(rows.join(gone, test, "left_semi").exceptAll(removed))
+
+
+def change_between(before: DataFrame, after: DataFrame, key: list[str]) -> Change:
+    """The change that leads from one snapshot to another: updated rows leave and enter."""
+    moved = snapshot_diff(before, after, key)
+    return Change(before.join(moved.filter("change != 'insert'").select(*key), key, "left_semi").select(*before.columns), after.join(moved.filter("change != 'delete'").select(*key), key, "left_semi").select(*before.columns))
+
+
 class Session:
-    """A query over relations, maintained under updates; ``rows`` is its current result and ``basis`` its version."""
+    """A query over relations, maintained under updates; ``rows`` is its current result and ``basis`` its version.
+
+    Relations and result are kept as their last written tables with the changes since; every ``compact`` updates they are
+    written anew, so an update costs what it touches and plans stay small.
+    """
 
-    def __init__(self, spark: SparkSession, root: dict, relations: dict[str, list[RelationInput]], basis: int = 0, **options):
-        self.spark, self.root, self.basis, self.options = spark, root, basis, options
+    def __init__(self, spark: SparkSession, root: dict, relations: dict[str, list[RelationInput]], basis: int = 0, compact: int = 8, **options):
+        self.spark, self.root, self.basis, self.compact, self.options, self.updates = spark, root, basis, compact, options, 0
         self.relations = {r: own for r, own in relations.items() if r in relations_of(root)}
         if any(len(own) != 1 for own in self.relations.values()):
             raise ValueError("maintained relations have one input each")
@@ -84,17 +103,19 @@ class Session:
             self.counts["unaffected"] += 1
             self.basis = basis
             return self.rows.limit(0), self.rows.limit(0)
-        after = {}
+        after, settle = {}, (self.updates + 1) % self.compact == 0
         for r, (own,) in self.relations.items():
             df = own.df
             if r in changes:
-                df = spool(_subtract(df, changes[r].removed, own.occurrence).unionByName(changes[r].added), "relation")
+                df = _subtract(df, changes[r].removed, own.occurrence).unionByName(changes[r].added)
+                df = spool(df, "relation") if settle else df
             after[r] = [replace(own, df=df)]
         removed, added = (spool(df, "delta") for df in self._delta(self.root, self.relations, after, changes))
         # A row that one side of a join loses and the other gains is on both lists; what is left is the change.
-        removed, added = removed.exceptAll(added), added.exceptAll(removed)
-        rows = spool(self.rows.exceptAll(removed).unionByName(added), "result")
-        self.relations, self.rows, self.basis = after, rows, basis
+        removed, added = spool(removed.exceptAll(added), "delta"), spool(added.exceptAll(removed), "delta")
+        rows = bag_minus(self.rows, removed).unionByName(added)
+        rows = spool(rows, "result") if settle else rows
+        self.relations, self.rows, self.basis, self.updates = after, rows, basis, self.updates + 1
         return removed, added
 
     def close(self) -> None:

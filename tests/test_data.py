@@ -5,12 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lattisca.functions.expressions import QueryError
 from lattisca.operators.constraints import check, delete_with_references
-from lattisca.operators.writes import Store, WriteError, transact, update_where
+from lattisca.operators.writes import Store, WriteError, sequence, transact, update_where
 from lattisca.plans import nodes as n
+from lattisca.plans.prepare import fits, prepare
 from lattisca.sources import lens, mapping, schema, system
 from lattisca.sources.relations import RelationInput
-from lattisca.streaming.maintenance import Change, Pool, Session, StaleBasis, snapshot_diff
+from lattisca.streaming.maintenance import Change, Pool, Session, StaleBasis, bag_minus, change_between, snapshot_diff
 from lattisca.streaming.observer import Observer
 
 f, lit = n.field, n.literal
@@ -155,6 +157,44 @@ def test_writes(spark):
         store.commit({}, 0)
 
 
+def test_sequences_and_subscriptions(spark):
+    store, heard = _store(spark), []
+    leave = store.subscribe(heard.append)
+    gone = lambda k: [{"kind": "delete", "relation": "t", "when": lambda df: df["id"] == k}]
+    bad = [{"kind": "move", "relation": "t"}]
+    assert sequence(store, [gone(1), bad, gone(2)]) == [{"version": 1}, {"error": "write.capability_unavailable"}]
+    assert sequence(store, [bad, gone(2)], stop=False)[1] == {"version": 2} and heard == [1, 2] and store.tables["t"].count() == 0
+    leave()
+    assert not store.subscribers and [r["version"] for r in store.receipts] == [1, 2]
+
+
+def test_prepared_plans_and_parameters(spark):
+    root = n.pipe(n.values("v", [{"x": 1}, {"x": 2}]), n.where(n.eq(f("v", "x"), n.parameter("k"))))
+    plan = prepare(root, set(), {"k": {"kind": "integer"}})
+    root["kind"] = "broken"
+    assert plan.evaluate(spark, {}, {"k": 2}).df.count() == 1
+    for bad in ({}, {"k": 1.5}, {"k": 1, "z": 1}):
+        with pytest.raises(QueryError, match="parameter_invalid"):
+            plan.evaluate(spark, {}, bad)
+    with pytest.raises(QueryError, match="parameter_undeclared"):
+        prepare(plan.root, set(), {})
+    record = {"kind": "record", "fields": {"a": {"kind": "tuple", "items": [{"kind": "string", "values": ["x"]}, {"kind": "union", "alternatives": [{"kind": "null"}, {"kind": "decimal"}]}]}, "b": {"kind": "boolean"}}, "optional": ["b"]}
+    assert fits(record, {"a": ["x", None]}) and fits(record, {"a": ["x", "1.5"], "b": True})
+    assert not fits(record, {"a": ["y", None]}) and not fits(record, {"a": ["x", "01"]}) and not fits(record, {"a": ["x", None], "c": 1})
+
+
+def test_changes_between_snapshots(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id int, v string"), spark.createDataFrame([(1, "x"), (2, "q"), (4, "w")], "id int, v string")
+    c = change_between(a, b, ["id"])
+    assert sorted(map(tuple, c.removed.collect())) == [(2, "y"), (3, "z")] and sorted(map(tuple, c.added.collect())) == [(2, "q"), (4, "w")]
+
+
+def test_bags_lose_as_many_rows_as_are_removed(spark):
+    rows = spark.createDataFrame([(1, None), (1, None), (1, None), (2, "a")], "id int, v string")
+    got = bag_minus(rows, spark.createDataFrame([(1, None), (1, None), (3, "q")], "id int, v string")).collect()
+    assert sorted(map(str, map(tuple, got))) == ["(1, None)", "(2, 'a')"]
+
+
 def test_edits_count_utf16_units(spark):
     got = update_where(_store(spark).tables["t"], F.col("id") == 1, {"name": {"text": [3, 1, "Z"]}, "n": {"increment": 2}, "l": {"list": [1, 1, ["q", "r"]]}}).orderBy("id").collect()
     assert tuple(got[0]) == (1, "a😀Z", 3, ["x", "q", "r"]) and tuple(got[1]) == (2, "b", 2, [])
