@@ -38,8 +38,8 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated, without the spans that benchmark windows cover in them."""
-    found = decontam.find_phrases(docs, table(spark, sf_dir, "benchmark"))
-    return _counted(decontam.remove_spans(found.filter(~decontam.contaminated())), docs.columns)
+    found = decontam.find_phrases(docs, table(spark, sf_dir, "benchmark"), cut=True)
+    return _counted(found.filter(~decontam.contaminated()), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

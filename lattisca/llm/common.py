@@ -1,36 +1,25 @@
-"""Shared pieces of the training-data operators: table access, the shared spool folder and row keys."""
+"""Shared pieces of the training-data operators: table access, row keys and bounded slices of batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattisca.sources.shared import shared_dir, spool
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["hash128", "let", "returns_memory", "shared_dir", "slices", "spool", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a folder of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="lattisca-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
 
-
-def spool(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: writes df as a Parquet table in the shared folder and reads it back. The table goes when the JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spool-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def hash128(*cols):
@@ -41,3 +30,29 @@ def hash128(*cols):
 def let(value, body):
     """body(value) with value computed once a row: inside a lambda the optimizer would put the whole expression in place of a name."""
     return F.transform(F.array(value), body)[0]
+
+
+def returns_memory(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that gives memory back to the system when it ends: Python workers outlive tasks, and several idle ones share an executor with the next stage's."""
+
+    @wraps(task)
+    def run(batches):
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return run
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about ``size`` bytes together, so that a task's memory doesn't depend on how long texts are; a longer text is a run of its own."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.cast(pc.binary_length(batch.column(column)), pa.int64()), 0)) + 64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop

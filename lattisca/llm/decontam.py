@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lattisca.llm.common import returns_memory, slices
+
 WINDOW = 13
 #: Words of one index, and UTF-8 bytes of benchmark text that one broadcast holds; a larger benchmark is searched in blocks.
 SHARD_WORDS = 1_500_000
@@ -227,8 +229,8 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [rows] if n <= 1 else [rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items and spans of covered words (start inclusive, stop exclusive).
+def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+    """docs with n_words, n_hit, n_items, items and spans of covered words (start inclusive, stop exclusive); cut: text loses the spans.
 
     Words are runs of digits, letters and bytes over 0x7F, A-Z in lower case. A window is 13 words of an item, or all
     words of a shorter one. A null or empty text has no words and no hits; an item without words has no window, and a
@@ -240,29 +242,30 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     sc = docs.sparkSession.sparkContext
     out = docs.drop(*names)
     schema = StructType(out.schema.fields + StructType.fromDDL(COLUMNS).fields)
-    for k, block in enumerate(_blocks(benchmark, block_bytes)):
+    blocks = _blocks(benchmark, block_bytes)
+    for k, block in enumerate(blocks):
         items = [(r["item_id"] if r["item_id"] is not None else "", r["text"].encode()) for r in block.collect()]
         held = sc.broadcast(items)
 
-        def search(batches, held=held, first=k == 0):
+        @returns_memory
+        def search(batches, held=held, first=k == 0, cut=cut and k == len(blocks) - 1):
             phrases = Phrases(held.value, window)
             waiting, words = [], 0
             for batch in batches:
-                for a in range(0, batch.num_rows, 256):
-                    part = batch.slice(a, 256)
+                for part in slices(batch):
                     waiting.append(part)
                     words += (sum(len(x) for x in part.column("text").cast(pa.binary()).to_pylist() if x)) // 4
                     if words >= shard_words:
-                        yield from _answer(waiting, phrases, first)
+                        yield from _answer(waiting, phrases, first, cut)
                         waiting, words = [], 0
             if waiting:
-                yield from _answer(waiting, phrases, first)
+                yield from _answer(waiting, phrases, first, cut)
 
         out = out.mapInArrow(search, schema)
     return out
 
 
-def _answer(batches: list[pa.RecordBatch], phrases: Phrases, first: bool):
+def _answer(batches: list[pa.RecordBatch], phrases: Phrases, first: bool, cut: bool):
     table = pa.Table.from_batches(batches)
     found = _found([x for b in batches for x in b.column("text").cast(pa.binary()).to_pylist()], phrases)
     if not first:
@@ -277,6 +280,10 @@ def _answer(batches: list[pa.RecordBatch], phrases: Phrases, first: bool):
     ]
     for name, column in zip(("n_words", "n_hit", "n_items", "items", "spans"), columns):
         table = table.append_column(name, column)
+    if cut:
+        i = table.schema.get_field_index("text")
+        texts = [cut_spans(t, x) if x else t for t, (_, x, _) in zip(table["text"].to_pylist(), found)]
+        table = table.set_column(i, table.schema.field(i), pa.array(texts, table.schema.field(i).type))
     yield from table.combine_chunks().to_batches(max_chunksize=2048)
 
 
@@ -298,16 +305,3 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     for a, b in reversed(spans):
         raw = raw[: at[a][0]] + raw[at[b - 1][1] :]
     return raw.decode()
-
-
-def remove_spans(found: DataFrame) -> DataFrame:
-    """find_phrases() with the covered spans cut from text."""
-
-    def cut(batches):
-        for batch in batches:
-            spans = batch.column("spans").to_pylist()
-            texts = [cut_spans(t, [(s["start"], s["stop"]) for s in x]) if x and t else t for t, x in zip(batch.column("text").to_pylist(), spans)]
-            i = batch.schema.get_field_index("text")
-            yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
-
-    return found.mapInArrow(cut, found.schema)

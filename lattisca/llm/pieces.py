@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from lattisca.llm.common import returns_memory, slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N = 3
 #: Chunks that a task remembers; what an unknown character scores below the worst piece.
-CACHE, UNKNOWN = 450_000, 10.0
+CACHE, UNKNOWN = 300_000, 10.0
 
 SPACE = "▁"
 _LETTER = "A-Za-zÀ-ɏ"
@@ -218,12 +220,12 @@ def encode_table(docs: DataFrame, path: str = MODEL, n: int = N) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     schema = StructType(out.schema.fields + StructType.fromDDL("n_tokens bigint, ids array<int>, ids_sha256 string, scores array<double>, decoded string").fields)
 
+    @returns_memory
     def encoded(batches):
         v = held.value
         cache = Chunks(v)
         for whole in batches:
-            for a in range(0, whole.num_rows, 200):
-                batch = whole.slice(a, 200)
+            for batch in slices(whole):
                 texts = batch.column("text").to_pylist()
                 ids, scores = [], []
                 for t in texts:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattisca.llm.common import spool
+from lattisca.llm.common import returns_memory, spool
 from lattisca.llm.components import components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -50,6 +50,7 @@ def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> i
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, hash (of the text) and fp (the fingerprint's 64 bits as a signed bigint) of each row."""
 
+    @returns_memory
     def hashed(batches):
         for batch in batches:
             fps = [fingerprint(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
@@ -128,6 +129,7 @@ def _compared(keyed: DataFrame, steps: list[int], radius: int, piece: int) -> Da
     other = pieces.select(F.col("tile").alias("to"), F.col("piece").alias("other_piece"), F.col("fps").alias("others"))
     across = near.join(other, "to").filter("step != 0 OR piece < other_piece").select("fps", "others")
 
+    @returns_memory
     def compared(batches):
         for batch in batches:
             us, vs = [], []
@@ -158,6 +160,7 @@ def similar(edges: DataFrame, texts: DataFrame, least: float, width: int = 5) ->
     a, b = (texts.select(F.col("fp").alias(e), F.col("text").alias("text_" + e)) for e in ("u", "v"))
     pairs = edges.distinct().join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v")
 
+    @returns_memory
     def checked(batches):
         for batch in batches:
             u, v = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_u", "text_v"))

@@ -22,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lattisca.llm.common import returns_memory, slices
+
 #: Labelled documents that the model is fitted on, taken by hash of doc_id; tokens of the gradient steps; most stems.
 SAMPLE, TOKENS, STEMS = 8_000, 400_000, 400
-THRESHOLD, STEPS, SEGMENT, CACHE = 0.7, 60, 128, 400_000
+THRESHOLD, STEPS, SEGMENT, CACHE = 0.7, 60, 128, 200_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -243,11 +245,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType(out.schema.fields + StructType.fromDDL("score double, predicted int, spans array<struct<start:bigint,stop:bigint>>").fields)
 
+    @returns_memory
     def tag(batches):
         m, cache = held.value, {}
         for whole in batches:
-            for a in range(0, whole.num_rows, 250):
-                batch = whole.slice(a, 250)
+            for batch in slices(whole):
                 texts = batch.column("text").to_pylist()
                 docs = [words_of(t) if t else [] for t in texts]
                 marginal, sizes = m.marginals(docs, cache)
