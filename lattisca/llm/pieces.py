@@ -26,7 +26,7 @@ from lattisca.llm.common import returns_memory, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N = 3
 #: Chunks that a task remembers; what an unknown character scores below the worst piece.
-CACHE, UNKNOWN = 300_000, 10.0
+CACHE, UNKNOWN = 600_000, 10.0
 
 SPACE = "▁"
 _LETTER = "A-Za-zÀ-ɏ"
@@ -85,12 +85,12 @@ class Vocabulary:
 
     def __init__(self, pieces: list[tuple[str, float]], ids: list[int], byte_ids: list[int]):
         self.piece = dict(zip((p for p, _ in pieces), zip(ids, (s for _, s in pieces))))
-        self.trie: dict = {}  # by character; at 0 the piece that ends there
+        self.trie: list = [{}, None, None]  # nodes by character, then score and id of the piece that ends here, if one does
         for p, (i, score) in self.piece.items():
             at = self.trie
             for c in p:
-                at = at.setdefault(c, {})
-            at[0] = (score, i)
+                at = at[0].setdefault(c, [{}, None, None])
+            at[1:] = score, i
         self.unknown = min((s for _, s in pieces if s > -1e8), default=0.0) - UNKNOWN
         self.byte_ids = byte_ids
         self.text = {i: p.replace(SPACE, " ") for (p, _), i in zip(pieces, ids)}
@@ -112,11 +112,11 @@ class Vocabulary:
         for i in range(n):
             at = self.trie
             for j in range(i, n):
-                at = at.get(mapped[j])
+                at = at[0].get(mapped[j])
                 if at is None:
                     break
-                if 0 in at:
-                    edges[j + 1].append((i, *at[0]))
+                if at[1] is not None:
+                    edges[j + 1].append((i, at[1], at[2]))
             if not edges[i + 1] or edges[i + 1][-1][0] != i:
                 edges[i + 1].append((i, self.unknown, -ord(chunk[i]) - 1))
         return edges
@@ -124,35 +124,31 @@ class Vocabulary:
     def two_best(self, chunk: str) -> tuple[list[int], float, float]:
         """Ids and score of the best segmentation, and how much less the second best scores (infinity if there is none): one forward pass that keeps two scores a place."""
         mapped = chunk.replace(SPACE, "\0").replace(" ", SPACE)
-        n, trie, low = len(mapped), self.trie, -np.inf
-        best, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
+        n, first, unknown = len(mapped), self.trie[0], self.unknown
+        best, back = [-np.inf] * (n + 1), [None] * (n + 1)
+        second = best[:]
         best[0] = 0.0
-        for i in range(n):
-            b, b2, at, k, known = best[i], second[i], trie, i, False
-            for c in mapped[i:]:
-                at = at.get(c)
-                if at is None:
-                    break
-                k += 1
-                edge = at.get(0)
-                if edge:
-                    s = b + edge[0]
-                    was = best[k]
+        for i, c in enumerate(mapped):
+            b, b2, k = best[i], second[i], i + 1
+            node = first.get(c)
+            if node is None or node[1] is None:
+                node = [node[0] if node else {}, unknown, -ord(chunk[i]) - 1]
+            while True:
+                score = node[1]
+                if score is not None:
+                    s, was = b + score, best[k]
                     if s > was:
-                        s2 = b2 + edge[0]
+                        s2 = b2 + score
                         second[k] = s2 if s2 > was else was
-                        best[k], back[k] = s, (i, edge[1])
+                        best[k], back[k] = s, (i, node[2])
                     elif s > second[k]:
                         second[k] = s
-                    if k == i + 1:
-                        known = True
-            if not known:
-                s, k = b + self.unknown, i + 1
-                if s > best[k]:
-                    second[k] = max(best[k], b2 + self.unknown)
-                    best[k], back[k] = s, (i, -ord(chunk[i]) - 1)
-                elif s > second[k]:
-                    second[k] = s
+                if k == n:
+                    break
+                node = node[0].get(mapped[k])
+                if node is None:
+                    break
+                k += 1
         labels, j = [], n
         while j:
             j, label = back[j]
