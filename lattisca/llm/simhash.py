@@ -19,11 +19,17 @@ from lattisca.llm.common import returns_memory, spool
 from lattisca.llm.components import components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
-#: For whole texts: bits that may differ where the texts themselves are then compared, and the similarity that they need.
+#: Radius of wide_links(). For whole texts: the similarity that links them.
 WIDE, SIMILAR = 6, 0.8
+#: Texts that agree in all min-hashes of a band are compared: at a similarity of 0.8 a pair misses all bands once in eight million. Members of a bucket that one task compares with as many others.
+BANDS, HASHES, MEMBERS = 40, 5, 512
 #: Bits of each field whose population count is part of a tile's key; fingerprints of one piece of a tile.
 FIELDS, PIECE = (11, 11, 11, 11, 10, 10), 4096
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_XOR, _ODD = np.random.default_rng(SEED).integers(0, 2**32, (2, BANDS * HASHES, 1), dtype=np.uint32)
+_ODD |= np.uint32(1)
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -47,16 +53,45 @@ def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * votes > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, hash (of the text) and fp (the fingerprint's 64 bits as a signed bigint) of each row."""
+def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
+    """A 64-bit digest of each shingle of ``width`` words in order, a shorter text being one; none without words."""
+    words = text.translate(_LOWER).split() if text else []
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    wide, n = min(width, len(words)), max(1, len(words) - width + 1) if words else 0
+    mixed = np.full(n, wide, dtype=np.uint64)
+    for k in range(wide):
+        mixed = (mixed ^ own[k : k + n]) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def band_keys(digests: np.ndarray) -> np.ndarray:
+    """A key of each band of min-hashes of a text's shingle digests; no keys for no shingles."""
+    if not len(digests):
+        return np.zeros(0, dtype=np.int64)
+    short, low = (digests >> np.uint64(32)).astype(np.uint32), np.full(len(_XOR), 2**32 - 1, dtype=np.uint32)
+    for k in range(0, len(short), 512):
+        np.minimum(low, ((short[k : k + 512] ^ _XOR) * _ODD).min(axis=1), out=low)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in low.reshape(BANDS, HASHES).T.astype(np.uint64):
+        keys = (keys ^ column) * _MIX
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def fingerprints(docs: DataFrame, width: int = SHINGLE, banded: bool = False) -> DataFrame:
+    """doc_id, hash (of the text) and fp (the fingerprint's 64 bits as a signed bigint) of each row; if banded, also keys (of its bands)."""
 
     @returns_memory
     def hashed(batches):
         for batch in batches:
-            fps = [fingerprint(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "hash", "fp"])
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            columns = {"doc_id": batch.column("doc_id"), "hash": batch.column("hash"), "fp": pa.array(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))}
+            if banded:
+                columns["keys"] = pa.array([band_keys(shingles(t)) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").mapInArrow(hashed, "doc_id bigint, hash bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").mapInArrow(hashed, "doc_id bigint, hash bigint, fp bigint" + ", keys array<bigint>" * banded)
 
 
 def _tile_key(fields=FIELDS):
@@ -156,8 +191,8 @@ def similarity(a: bytes | None, b: bytes | None, width: int = 5) -> float:
 
 
 def similar(edges: DataFrame, texts: DataFrame, least: float, width: int = 5) -> DataFrame:
-    """The edges (u, v) whose texts, of texts (fp, text), are at least so similar."""
-    a, b = (texts.select(F.col("fp").alias(e), F.col("text").alias("text_" + e)) for e in ("u", "v"))
+    """The edges (u, v) whose texts, of texts (node, text), are at least so similar."""
+    a, b = (texts.select(F.col("node").alias(e), F.col("text").alias("text_" + e)) for e in ("u", "v"))
     pairs = edges.distinct().join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v")
 
     @returns_memory
@@ -170,6 +205,49 @@ def similar(edges: DataFrame, texts: DataFrame, least: float, width: int = 5) ->
     return pairs.mapInArrow(checked, "u bigint, v bigint")
 
 
+def similar_forest(sets: list[np.ndarray], roots: np.ndarray, least: float, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs (i, j) of different roots, and of different sides if given, whose sorted digest sets are at least so similar, thinned, as they are accepted, to those that connect more.
+
+    Sets are compared only where their sizes, and their counts by the digests' first byte, allow that similarity.
+    """
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    cells = np.array([np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 32767) for s in sets], dtype=np.int16)
+    root, found = np.unique(roots, return_inverse=True)[1], []
+    for i in range(len(sets) - 1):
+        may = (root != root[i]) & (np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i]) - 1e-6)
+        may[: i + 1] = False
+        if sides is not None:
+            may &= sides != sides[i]
+        j = np.flatnonzero(may)
+        j = j[np.abs(cells[j].astype(np.int32) - cells[i]).sum(axis=1) <= (1 - least) / (1 + least) * (sizes[j] + sizes[i]) + 1e-6]
+        for k in j.tolist():
+            if root[k] != root[i]:
+                common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if common / (len(sets[i]) + len(sets[k]) - common) >= least:
+                    found.append((i, k))
+                    root[root == root[k]] = root[i]
+    return found
+
+
+def similar_apart(members: DataFrame, texts: DataFrame, least: float, size: int = MEMBERS) -> DataFrame:
+    """(u, v): links between the roots of members (key, hash, root) of equal keys and different roots whose texts, of texts (node, text), are at least so similar.
+
+    All such pairs are compared, in groups of at most two pieces of a bucket, of about ``size`` members each.
+    """
+    mixed = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count(F.lit(1)) / size).cast("int").alias("pieces")).filter("a != b")
+    cut = members.join(mixed, "key").withColumn("piece", F.pmod(F.xxhash64("hash", "key"), F.col("pieces")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("key", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "piece", "root", F.col("hash").alias("node"))
+
+    def compared(group: pa.Table) -> pa.Table:
+        sets = [np.unique(shingles(t)) for t in group.column("text").cast(pa.binary()).to_pylist()]
+        roots, sides = group.column("root").to_numpy(), group.column("piece").to_numpy()
+        across = group.column("p")[0].as_py() != group.column("q")[0].as_py()
+        at = np.array(similar_forest(sets, roots, least, sides if across else None), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"u": roots[at[:, 0]], "v": roots[at[:, 1]]})
+
+    return dealt.join(texts, "node").groupBy("key", "p", "q").applyInArrow(compared, "u bigint, v bigint")
+
+
 def _classes(rows: DataFrame, radius: int, fields, more: DataFrame | None = None) -> DataFrame:
     """(fp, root) of each distinct fingerprint of rows: its connected component over links within the radius, and more (u, v)."""
     distinct = rows.select("fp").distinct()
@@ -195,20 +273,34 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, fields=FIELDS) -> Dat
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = RADIUS, fields=FIELDS, wide: int = WIDE, least: float = SIMILAR) -> DataFrame:
+def representatives(docs: DataFrame, radius: int = RADIUS, fields=FIELDS, least: float = SIMILAR) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest doc_id, then the smallest hash of the text; null ids come last.
 
-    Groups are connected by fingerprints of at most ``radius`` differing bits, and by those of at most ``wide`` whose texts have
-    a similarity of at least ``least`` on five-word shingles. Texts without words are alike; an empty table gives none.
+    Groups are connected by fingerprints of at most ``radius`` differing bits, and by texts that have a similarity of at
+    least ``least`` on five-word shingles. Texts without words are alike; an empty table gives none.
+
+    Texts are compared where a band of their min-hashes agrees: first each with one member of the bucket, which connects
+    most, then, in buckets whose members aren't connected yet, all pairs that are still apart. Every link is verified
+    before any is left out.
     """
-    rows = spool(fingerprints(docs), "fingerprints")
+    rows = spool(fingerprints(docs, banded=True), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("hash").alias("h"))
     first = spool(rows.groupBy("fp").agg(F.min(place).alias("low")), "first")
     at = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "__h": F.xxhash64("text")})
     own = lambda df: df.withColumns({"__d": F.coalesce("low.i", F.lit(-(2**63))), "__h": F.col("low.h")}).drop("low")
-    loose = spool(wide_links(first.select("fp"), wide).distinct(), "loose")
-    ends = loose.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    texts = at.select("__d", "__h", "text").join(own(first.join(ends, "fp")), ["__d", "__h"]).dropDuplicates(["fp"]).select("fp", "text")
-    classes = _classes(rows, radius, fields, similar(loose, spool(texts, "texts"), least))
-    kept = own(first.join(classes, "fp").groupBy("root").agg(F.min("low").alias("low"))).select("__d", "__h")
+    each = spool(rows.groupBy("hash").agg(F.min(place).alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "each")
+    keyed = each.select("hash", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("hash", "key").alias("x"), "hash")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = spool(keyed.join(hubs, "key").select("key", "n", "hash", F.col("hub.hash").alias("hub")), "members")
+    ends = members.select("hash").distinct()
+    texts = at.select("__d", "__h", "text").join(own(each.join(ends, "hash").select("hash", "low")), ["__d", "__h"]).dropDuplicates(["hash"])
+    texts = spool(texts.select(F.col("hash").alias("node"), "text"), "texts")
+    near = similar(members.filter("hash != hub").select(F.least("hub", "hash").alias("u"), F.greatest("hub", "hash").alias("v")), texts, least)
+    a, b = (each.select(F.col("hash").alias(e), F.col("fp").alias("fp_" + e)) for e in ("u", "v"))
+    near = spool(near.join(a, "u").join(b, "v").select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).distinct(), "near")
+    classes = spool(_classes(rows, radius, fields, near), "classes")
+    rest = members.filter("n > 2").join(each.join(classes, "fp").select("hash", "root"), "hash").select("key", "hash", "root")
+    more = components(similar_apart(rest, texts, least)).withColumnRenamed("root", "last")
+    last = classes.join(more, classes.root == more.node, "left").select("fp", F.coalesce("last", "root").alias("root"))
+    kept = own(first.join(last, "fp").groupBy("root").agg(F.min("low").alias("low"))).select("__d", "__h")
     return at.join(kept, ["__d", "__h"], "left_semi").dropDuplicates(["__d", "__h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
