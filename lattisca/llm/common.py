@@ -15,13 +15,24 @@ from pyspark.sql import functions as F
 
 from lattisca.sources.shared import shared_dir, spool
 
-__all__ = ["hash128", "let", "returns_memory", "shared_dir", "slices", "spool", "table"]
+__all__ = ["fresh", "hash128", "let", "returns_memory", "shared_dir", "slices", "spool", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from ``names`` that df doesn't have, in any case of letters."""
+    there, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in there:
+            n += "_"
+        there.add(n.lower())
+        out.append(n)
+    return out
+
+
 def hash128(*cols):
     """Two 64-bit hashes of the same columns, as a struct: a 128-bit key."""
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit("lattisca"), *reversed(cols)).alias("b"))

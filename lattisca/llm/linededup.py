@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattisca.llm.common import hash128, let
+from lattisca.llm.common import fresh, hash128, let
 
 LINES = 3
 
@@ -37,11 +37,12 @@ def line_dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
     repeated = windows.groupBy("wa", "wb").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("wa", "wb", "first")
     later = windows.join(repeated, ["wa", "wb"]).filter(place != F.col("first"))
     covered = later.groupBy("d", "h").agg(F.collect_set("p").alias("at"))
-    gone = covered.select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (lines - 1))))).alias("__gone"))
-    joined = docs.withColumns({"__d": own[0], "__h": own[1]}).join(gone, ["__d", "__h"], "left")
-    kept = let(F.split("text", "\n", -1), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: F.element_at(x, i + 1)))
+    d, h, g = fresh(docs, "d", "h", "gone")
+    gone = covered.select(F.col("d").alias(d), F.col("h").alias(h), F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (lines - 1))))).alias(g))
+    joined = docs.withColumns({d: own[0], h: own[1]}).join(gone, [d, h], "left")
+    kept = let(F.split("text", "\n", -1), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(g)), lambda i: F.element_at(x, i + 1)))
     return joined.select(
-        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")],
+        *[F.when(F.col(g).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("bigint").alias("n_removed"),
+        F.when(F.col(g).isNull(), F.lit(0)).otherwise(F.size(g)).cast("bigint").alias("n_removed"),
     )
