@@ -184,12 +184,17 @@ class Vocabulary:
         parts, total, ways = self._search(text, n, Chunks(self) if cache is None else cache)
         return [(total + lost, [k for i, own in enumerate(parts) for k in at.get(i, own[0])]) for lost, at in ways]
 
-    def ranked(self, text: str, n: int, cache: Chunks) -> tuple[list[float], list[int]]:
-        """Scores of the n best segmentations, and the ids of the best."""
+    def ranked(self, text: str, n: int, cache: Chunks) -> tuple[list[float], list[int], list[list[tuple[int, int, list[int]]]]]:
+        """Scores of the n best segmentations, the ids of the best, and of each other one its edits of these: (start, stop, ids in their place), in order."""
         if not text:
-            return [0.0], []
+            return [0.0], [], []
         parts, total, ways = self._search(text, n, cache)
-        return [total + lost for lost, _ in ways], list(chain.from_iterable(map(_IDS, parts)))
+        places, before, done = {}, 0, 0
+        for at in sorted({at for _, own in ways for at in own}):
+            before += sum(map(len, map(_IDS, parts[done:at])))
+            places[at], done = before, at
+        edits = [[(places[at], places[at] + len(parts[at][0]), ids) for at, ids in sorted(own.items()) if ids != parts[at][0]] for _, own in ways[1:]]
+        return [total + lost for lost, _ in ways], list(chain.from_iterable(map(_IDS, parts))), edits
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, exactly as it was encoded."""
@@ -203,18 +208,31 @@ class Vocabulary:
             return raw.decode("utf-8", "surrogatepass")[1:]
 
 
+def edited(ids: list[int], edits: list[tuple[int, int, list[int]]]) -> list[int]:
+    """The ids of another segmentation: edits of ranked(), made from the last to the first."""
+    out = list(ids)
+    for start, stop, new in reversed(edits):
+        out[start:stop] = new
+    return out
+
+
 def encode_table(docs: DataFrame, path: str = MODEL, n: int = N) -> DataFrame:
-    """docs with n_tokens, ids (the best segmentation), ids_sha256 (of the ids as 32-bit little-endian integers), scores (of the n best, best first) and decoded (ids read back).
+    """docs with n_tokens, ids (the best segmentation), ids_sha256 (of the ids as 32-bit little-endian integers), scores (of the n best, best first), others (of the second best to the n-th the edits that make its ids of the best's, see edited()) and decoded (ids read back).
+
+    Scores are sums of the vocabulary's piece scores. Those of the default vocabulary, made by merges, are ranks of merges and no log probabilities;
+    a unigram vocabulary's are.
 
     The vocabulary is read on the driver and broadcast: it has a fixed number of pieces. Texts are encoded whole. A null
-    text has null ids, digest, scores and decoded and 0 tokens; an empty one has none of length 0. Texts with one segmentation
-    have one score. Ties between segmentations go to any, always the same. Repeated rows each get a row, an empty table
+    text has null ids, digest, scores, others and decoded and 0 tokens; an empty one has none of length 0. Texts with one segmentation
+    have one score and no others. Ties between segmentations go to any, always the same. Repeated rows each get a row, an empty table
     none; other columns stay, those named like an output are replaced.
     """
-    names = ["n_tokens", "ids", "ids_sha256", "scores", "decoded"]
+    names = ["n_tokens", "ids", "ids_sha256", "scores", "others", "decoded"]
     out = docs.drop(*names)
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
-    schema = StructType(out.schema.fields + StructType.fromDDL("n_tokens bigint, ids array<int>, ids_sha256 string, scores array<double>, decoded string").fields)
+    schema = StructType(out.schema.fields + StructType.fromDDL("n_tokens bigint, ids array<int>, ids_sha256 string, scores array<double>, others array<array<struct<start:int,stop:int,ids:array<int>>>>, decoded string").fields)
+
+    others_type = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
     @returns_memory
     def encoded(batches):
@@ -223,19 +241,14 @@ def encode_table(docs: DataFrame, path: str = MODEL, n: int = N) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 texts = batch.column("text").to_pylist()
-                ids, scores = [], []
-                for t in texts:
-                    ids.append(None)
-                    scores.append(None)
-                    if t is not None:
-                        scores[-1], ids[-1] = v.ranked(t, n, cache)
+                scores, ids, others = zip(*[(None, None, None) if t is None else v.ranked(t, n, cache) for t in texts])
                 sizes = np.array([0 if i is None else len(i) for i in ids], dtype=np.int64)
                 packed = [None if i is None else np.array(i, dtype="<i4") for i in ids]
                 flat = np.concatenate([np.zeros(0, dtype="<i4"), *[i for i in packed if i is not None]])
                 digests = [None if i is None else hashlib.sha256(i.tobytes()).hexdigest() for i in packed]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat), mask=pa.array([i is None for i in ids]))
                 back = [None if i is None else v.decode(i) for i in ids]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), lists, pa.array(digests, pa.string()), pa.array(scores, pa.list_(pa.float64())), pa.array(back, pa.string())], names=[*batch.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), lists, pa.array(digests, pa.string()), pa.array(scores, pa.list_(pa.float64())), pa.array([None if o is None else [[dict(zip(("start", "stop", "ids"), e)) for e in way] for way in o] for o in others], others_type), pa.array(back, pa.string())], names=[*batch.schema.names, *names])
 
     return out.mapInArrow(encoded, schema)
 
