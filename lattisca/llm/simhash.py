@@ -15,12 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattisca.llm.common import returns_memory, spool
+from lattisca.llm.common import fresh, returns_memory, spool
 from lattisca.llm.components import components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
-#: Radius of wide_links(). For whole texts: the similarity that links them.
-WIDE, SIMILAR = 6, 0.8
+#: For whole texts: the similarity that links them.
+SIMILAR = 0.8
 #: Texts that agree in all min-hashes of a band are compared: at a similarity of 0.8 a pair misses all bands once in eight million. Members of a bucket that one task compares with as many others.
 BANDS, HASHES, MEMBERS = 40, 5, 512
 #: Bits of each field whose population count is part of a tile's key; fingerprints of one piece of a tile.
@@ -144,15 +144,6 @@ def links(fps: DataFrame, radius: int = RADIUS, fields=FIELDS, piece: int = PIEC
     return _compared(fps.withColumn("tile", _tile_key(fields)), _steps(fields, radius), radius, piece)
 
 
-def wide_links(fps: DataFrame, radius: int = WIDE, piece: int = PIECE) -> DataFrame:
-    """links() for a wider radius r, where the counts of fields skip little: fingerprints within it agree on one of r + 1 segments,
-    so tiles are made, once a segment, of equal segments and equal population counts, and tile pairs of one segment are skipped by their counts."""
-    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
-    pop = F.bit_count("fp").cast("bigint")
-    own = [((F.lit(k).cast("bigint") * 2**20 + F.shiftrightunsigned(F.col("fp"), a).bitwiseAND((1 << (b - a)) - 1)) * 128 + pop) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    return _compared(fps.select("fp", F.explode(F.array(*own)).alias("tile")), list(range(radius + 1)), radius, piece)
-
-
 def _compared(keyed: DataFrame, steps: list[int], radius: int, piece: int) -> DataFrame:
     """Forests of the links in keyed (fp, tile): inside each tile, and between tiles whose numbers differ by one of steps."""
     counts = keyed.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces"))
@@ -286,14 +277,15 @@ def representatives(docs: DataFrame, radius: int = RADIUS, fields=FIELDS, least:
     rows = spool(fingerprints(docs, banded=True), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("hash").alias("h"))
     first = spool(rows.groupBy("fp").agg(F.min(place).alias("low")), "first")
-    at = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "__h": F.xxhash64("text")})
-    own = lambda df: df.withColumns({"__d": F.coalesce("low.i", F.lit(-(2**63))), "__h": F.col("low.h")}).drop("low")
+    d, h = fresh(docs, "d", "h")
+    at = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), h: F.xxhash64("text")})
+    own = lambda df: df.withColumns({d: F.coalesce("low.i", F.lit(-(2**63))), h: F.col("low.h")}).drop("low")
     each = spool(rows.groupBy("hash").agg(F.min(place).alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "each")
     keyed = each.select("hash", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("hash", "key").alias("x"), "hash")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = spool(keyed.join(hubs, "key").select("key", "n", "hash", F.col("hub.hash").alias("hub")), "members")
     ends = members.select("hash").distinct()
-    texts = at.select("__d", "__h", "text").join(own(each.join(ends, "hash").select("hash", "low")), ["__d", "__h"]).dropDuplicates(["hash"])
+    texts = at.select(d, h, "text").join(own(each.join(ends, "hash").select("hash", "low")), [d, h]).dropDuplicates(["hash"])
     texts = spool(texts.select(F.col("hash").alias("node"), "text"), "texts")
     near = similar(members.filter("hash != hub").select(F.least("hub", "hash").alias("u"), F.greatest("hub", "hash").alias("v")), texts, least)
     a, b = (each.select(F.col("hash").alias(e), F.col("fp").alias("fp_" + e)) for e in ("u", "v"))
@@ -302,5 +294,5 @@ def representatives(docs: DataFrame, radius: int = RADIUS, fields=FIELDS, least:
     rest = members.filter("n > 2").join(each.join(classes, "fp").select("hash", "root"), "hash").select("key", "hash", "root")
     more = components(similar_apart(rest, texts, least)).withColumnRenamed("root", "last")
     last = classes.join(more, classes.root == more.node, "left").select("fp", F.coalesce("last", "root").alias("root"))
-    kept = own(first.join(last, "fp").groupBy("root").agg(F.min("low").alias("low"))).select("__d", "__h")
-    return at.join(kept, ["__d", "__h"], "left_semi").dropDuplicates(["__d", "__h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = own(first.join(last, "fp").groupBy("root").agg(F.min("low").alias("low"))).select(d, h)
+    return at.join(kept, [d, h], "left_semi").dropDuplicates([d, h]).select(*[F.col(f"`{c}`") for c in docs.columns])
