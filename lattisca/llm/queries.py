@@ -45,7 +45,7 @@ def op7_sentencepiece(spark, sf_dir):
     from lattisca.llm.pieces import encode_table
 
     out = encode_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_tokens", "scores", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"), "ids_sha256", "ids")
+    return out.select("doc_id", "n_tokens", "scores", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"), "ids_sha256", "ids", "others")
 
 
 def op8_nearest_neighbours(spark, sf_dir):
@@ -75,6 +75,22 @@ def op10_substring_dedup(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_decontamination, op4_chat_formatting, op5_simhash, op6_line_dedup, op7_sentencepiece, op8_nearest_neighbours, op9_language_model, op10_substring_dedup)}
 
 ORACLES = {
+    "op2_sharding": """
+WITH RECURSIVE crc AS (SELECT [list_reduce(list_prepend(i, [k::BIGINT for k in range(8)]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) for i in range(256)] AS t),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 8192)::INTEGER AS vs FROM documents),
+s AS (SELECT doc_id, vs, octet_length(raw)::BIGINT + 1 AS size,
+             xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(raw), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32 FROM d, crc),
+w AS (SELECT slot::INTEGER AS slot, greatest(coalesce(sum(size), 0), 1)::BIGINT AS b, count(size)::BIGINT AS k FROM range(8192) r(slot) LEFT JOIN s ON vs = slot GROUP BY slot),
+o AS (SELECT slot, b, row_number() OVER (ORDER BY b DESC, slot) AS n FROM w),
+deal(n, loads, slot, shard) AS (
+  SELECT 0::BIGINT, [0::BIGINT for i in range(16)], NULL::INTEGER, NULL::INTEGER
+  UNION ALL
+  SELECT o.n, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + o.b ELSE x END), o.slot, (list_position(loads, list_min(loads)) - 1)::INTEGER
+  FROM deal JOIN o ON o.n = deal.n + 1),
+m AS (SELECT w.slot, shard, coalesce(sum(k) OVER (PARTITION BY shard ORDER BY w.slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM w JOIN deal USING (slot))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (first + row_number() OVER (PARTITION BY vs ORDER BY doc_id, text_crc32, size) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard, vs AS virtual_slot, 1 AS map_version
+FROM s JOIN m ON vs = m.slot
+""",
     "op10_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w AS (SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM d WHERE len(ws) >= 50)),

@@ -36,7 +36,7 @@ def rows():
 def docs(spark, rows):
     made = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     # Names that operators use themselves must not get in the way.
-    return made.withColumns({c: F.lit("own") for c in ("fp", "chunk", "bucket", "d", "h", "__x")})
+    return made.withColumns({c: F.lit("own") for c in ("fp", "chunk", "bucket", "d", "H", "gone", "__x", "__d", "__h", "__gone", "a", "b", "hash", "key")})
 
 
 @pytest.fixture(scope="module")
@@ -105,6 +105,36 @@ def test_toxicity_learns_and_tags(spark):
     assert got[1000].predicted == got[1001].predicted == 0 and 0 <= got[1000].score <= 1 and got[1002].spans[-1].start == 30000
 
 
+def test_toxic_spans_survive_lower_case(spark):
+    """A letter whose lower case is longer moves no offset."""
+    rows = _labelled()
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(2000, "\u0130stanbul alpha Vileword beta")], "doc_id bigint, text string")
+    model = toxicity.train(d, spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int"))
+    got = toxicity.score(d.filter("doc_id = 2000"), model).first()
+    assert [(s.start, s.stop) for s in got.spans] == [(15, 23)] and got.predicted == 1
+    small = toxicity.train(d, spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int"), most_bytes=3000)
+    assert 0 <= toxicity.score(d, small).agg(F.min("score")).first()[0] <= 1
+
+
+def test_tokens_are_labelled_given_a_toxic_document():
+    """Expected transitions and the probability of no toxic token, against all labellings of short texts."""
+    rng = np.random.default_rng(3)
+    sizes, trans = np.array([3, 0, 5]), rng.normal(size=(2, 2))
+    odds, weights = rng.normal(size=8), np.array([1.0, 1.0, 2.0])
+    chain, at, pairs = toxicity.Chain(odds, sizes, trans, segment=2, weights=weights), 0, np.zeros((2, 2))
+    for n, w, clean in zip(sizes, weights, chain.clean):
+        total, none, own = 0.0, 0.0, np.zeros((2, 2))
+        for way in range(2**n):
+            y = [way >> k & 1 for k in range(n)]
+            score = np.exp(sum(trans[a, b] + b * odds[at + k] for k, (a, b) in enumerate(zip([0, *y], y))))
+            total, none = total + score, none + score * (not any(y))
+            for a, b in zip([0, *y], y):
+                own[a, b] += score
+        assert np.isclose(np.exp(clean), none / total)
+        pairs, at = pairs + w * own / total, at + n
+    assert np.allclose(chain.pairs, pairs)
+
+
 def test_toxicity_without_labels(spark, none):
     d = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     model = toxicity.train(d, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
@@ -129,20 +159,57 @@ def test_sharding(spark, docs, rows, none):
 def test_sharding_balances_and_rebalances(spark, tmp_path):
     d = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"))
     sized = sharding.sized(d, 512)
-    table = sharding.slot_bytes(sized)
+    table = sharding.slot_bytes(sized, 512)
     first = sharding.first_map(table, 8)
     totals = [r.b for r in first.groupBy("shard").agg(F.sum("slot_bytes").alias("b")).collect()]
     assert len(totals) == 8 and max(totals) - min(totals) < 200
-    sharding.save_map(first, str(tmp_path / "m"))
-    grown = sharding.rebalance(sharding.load_map(spark, str(tmp_path / "m")), table, 9)
-    sharding.save_map(grown, str(tmp_path / "m"))
-    old, new = ({r.slot: r.shard for r in sharding.load_map(spark, str(tmp_path / "m"), v).collect()} for v in (1, 2))
+    path = str(tmp_path / "m")
+    assert sharding.save_map(first, path) == 1
+    with pytest.raises(ValueError):
+        sharding.save_map(first, path)
+    with pytest.raises(ValueError):
+        sharding.save_map(first.filter("slot != 7"), path + "x")
+    grown = sharding.rebalance(sharding.load_map(spark, path), table, 9)
+    assert sharding.save_map(grown, path) == 2 and sharding.versions(spark, path) == [1, 2]
+    old, new = ({r.slot: r.shard for r in sharding.load_map(spark, path, v).collect()} for v in (1, 2))
     moved = [s for s in old if old[s] != new[s]]
-    assert old.keys() == new.keys() and 0 < len(moved) < len(old) / 3 and len(set(new.values())) == 9
-    totals = [r.b for r in sharding.load_map(spark, str(tmp_path / "m")).groupBy("shard").agg(F.sum("slot_bytes").alias("b")).collect()]
+    assert old.keys() == new.keys() == set(range(512)) and 0 < len(moved) < len(old) / 3 and len(set(new.values())) == 9
+    totals = [r.b for r in sharding.load_map(spark, path).groupBy("shard").agg(F.sum("slot_bytes").alias("b")).collect()]
     assert max(totals) < 1.1 * min(totals)
 
 
+def test_a_stored_map_serves_other_rows(spark, tmp_path):
+    """A map of few rows takes many more, loses none, and is edited where they don't lie even."""
+    rows = lambda n, size: spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.col("id") % size).alias("text"))
+    path = str(tmp_path / "m")
+    assert sharding.shard(rows(100, 50), 4, 256, path).count() == 100 and sharding.versions(spark, path) == [1]
+    for n, size in ((3000, 50), (40, 3), (3000, 50)):
+        got = sharding.shard(rows(n, size), 4, 256, path).collect()
+        by, of = {}, sharding.load_map(spark, path).collect()
+        for r in got:
+            by.setdefault(r.shard, []).append(r)
+        assert len(got) == n and set(by) <= {0, 1, 2, 3} and len(of) == 256
+        assert all(sorted(r.slot for r in own) == list(range(len(own))) for own in by.values())
+        sizes = [sum(r["size"] for r in own) for own in by.values()]
+        assert n < 100 or len(sizes) == 4 and max(sizes) < 1.3 * min(sizes)
+    assert len(sharding.versions(spark, path)) > 1
+
+
+def test_sharding_deals_as_told(spark, docs, rows):
+    """Places, slots and shards against a plain version."""
+    slot = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:8], 16) % 64
+    loads, to, held = [0] * 4, {}, {s: 0 for s in range(64)}
+    for i, t in rows:
+        held[slot(i)] += len((t or "").encode()) + 1
+    for s in sorted(held, key=lambda s: (-max(held[s], 1), s)):
+        to[s] = loads.index(min(loads))
+        loads[to[s]] += max(held[s], 1)
+    got = sharding.shard(docs, 4, 64).collect()
+    assert all(r.shard == to[slot(r.doc_id)] for r in got)
+    order = sorted(got, key=lambda r: (r.virtual_slot, id_order(r.doc_id), r.text_crc32, r["size"]))
+    assert all([r.slot for r in order if r.shard == k] == list(range(sum(r.shard == k for r in got))) for k in range(4))
+
+
 # 3
 
 
@@ -158,6 +225,19 @@ def test_fm_index_counts_and_locates():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_windows_of_a_block_are_small():
+    """A block of benchmark text of its full size takes a bounded table: window ids, and a number for each item that holds one."""
+    rng = random.Random(8)
+    items = [(str(k), " ".join(f"w{rng.randrange(30000)}" for _ in range(60)).encode()) for k in range(2000)] + [("short", b"w1 w2")]
+    found = decontam.Phrases(items)
+    assert [(n, len(p)) for n, _, p in found.by_length] == [(2, 1), (13, 2000 * 48)]
+    assert sum(p.nbytes for _, _, p in found.by_length) + found.first.nbytes + found.owners.nbytes < 10_000_000
+    words = [found.vocabulary[w] for w in items[5][1].split()[10:40]]
+    ids = np.array([0, *words, 0, found.vocabulary[b"w1"], found.vocabulary[b"w2"], 0])
+    at, length, number = found.hits(ids, np.zeros(len(ids), dtype=np.int64))
+    assert sorted(zip(at.tolist(), length.tolist())) == sorted([(32, 2), *[(k, 13) for k in range(1, 19)]]) and found.items(np.unique(number)) == ["5", "short"]
+
+
 def test_decontamination(spark, docs, rows, none):
     bench = [(7, _PASSAGE[:200]), (8, "AB cd"), (10, _PASSAGE.upper()), (11, None), (12, "..."), (None, "fgh ij")]
     table = spark.createDataFrame(bench, "item_id bigint, text string")
@@ -335,12 +415,16 @@ def test_n_best_is_exact_and_round_trips():
         want = _all_ways(v, " " + text)[:4]
         assert np.allclose([s for s, _ in found], want) and len({tuple(i) for _, i in found}) == len(found)
         assert all(v.decode(i) == text for _, i in found)
+        scores, ids, others = v.ranked(text, 4, pieces.Chunks(v))
+        assert np.allclose(scores, want) and [ids, *[pieces.edited(ids, e) for e in others]] == [i for _, i in found]
 
 
 def test_encoding_table(spark, docs, rows, none):
     got = pieces.encode_table(docs.withColumn("ids", F.lit(1))).collect()
     assert len(got) == len(rows) and all(r.decoded == r.text and r.n_tokens == len(r.ids or []) for r in got)
     assert all((r.ids is None) == (r.text is None) for r in got) and all(r.scores == sorted(r.scores, reverse=True) for r in got if r.text)
+    v = pieces.Vocabulary.load()
+    assert all(len(r.others) == len(r.scores) - 1 and all(v.decode(pieces.edited(r.ids, [(e.start, e.stop, e.ids) for e in way])) == r.text for way in r.others) for r in got if r.text)
     assert pieces.encode_table(none).count() == 0
 
 
@@ -382,6 +466,8 @@ def test_language_model(spark, docs, rows, none):
     want = sorted(((i or 0, part(i) == 2, len(own), sum(w in count for w in own), n, round(sum(np.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in own), 6)) for i, own in tokens), key=str)
     assert [r[:6] for r in got[0]] == want and all(r[6] < 0 for r in got[0])
     assert ngram.score_texts(none).count() == 0
+    unseen = ngram.score_texts(docs.filter("crc32(cast(doc_id as string)) % 7 = 2")).collect()
+    assert unseen and all(r.train_tokens == 0 and r.score == r.base_score == 0 for r in unseen)
 
 
 def test_language_model_probabilities_add_up():
@@ -421,28 +507,3 @@ def test_representatives_join_similar_texts(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 7]
     assert simhash.similarity(edit().encode(), edit(7).encode()) == pytest.approx(291 / 301)
     assert simhash.similarity(None, b" ") == 1.0 and simhash.similarity(b"A b", b"a  B") == 1.0 and simhash.similarity(b"a", None) == 0.0
-
-
-def test_wide_links_reach_all_within_the_radius(spark):
-    rng = random.Random(11)
-    fps = [rng.getrandbits(64) for _ in range(40)]
-    for f in list(fps):
-        for _ in range(4):
-            for _ in range(6):
-                f ^= 1 << rng.randrange(64)
-            fps.append(f)
-    signed = sorted({f - 2**64 if f >= 2**63 else f for f in fps})
-    got = {r.node: r.root for r in components.components(simhash.wide_links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), 6, piece=4)).collect()}
-    root = {f: f for f in signed}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in signed:
-        for b in signed:
-            if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 6:
-                p, q = find(a), find(b)
-                root[max(p, q)] = min(p, q)
-    assert all(got.get(f, f) == find(f) for f in signed)
