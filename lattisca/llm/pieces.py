@@ -67,11 +67,11 @@ _IDS, _SCORE, _GAP = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
 class Chunks(dict):
-    """The best segmentation of each chunk, remembered up to a bound."""
+    """The best segmentation of each chunk, and the n best of those asked for, remembered up to a bound."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.ways = vocabulary, {}
 
     def __missing__(self, chunk: str) -> tuple[list[int], float, float]:
         if len(self) > CACHE:
@@ -79,6 +79,14 @@ class Chunks(dict):
         self[chunk] = found = self.vocabulary.two_best(chunk)
         return found
 
+    def n_best(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
+        found = self.ways.get((chunk, n))
+        if found is None:
+            if len(self.ways) > CACHE // 20:
+                self.ways.clear()
+            self.ways[chunk, n] = found = self.vocabulary.segment(chunk, n)
+        return found
+
 
 class Vocabulary:
     """Pieces with scores. A character that no piece has is one unknown edge, which stands for its UTF-8 bytes."""
@@ -172,7 +180,7 @@ class Vocabulary:
             gaps = np.fromiter(map(_GAP, parts), dtype=float, count=len(parts))
             loose = np.argpartition(gaps, n - 2)[: n - 1].tolist() if len(gaps) >= n else list(range(len(gaps)))
             loose = sorted(at for at in loose if gaps[at] < np.inf)
-            others = [self.segment(chunks[at], n) for at in loose]
+            others = [cache.n_best(chunks[at], n) for at in loose]
             edges = [[], *[[(k, s - own[0][0], v) for v, (s, _) in enumerate(own)] for k, own in enumerate(others)]]
             ways += [(lost, {at: own[v][1] for at, own, v in zip(loose, others, choice)}) for lost, choice in n_best(len(loose), edges, n)[1:]]
         return parts, sum(map(_SCORE, parts)), ways
