@@ -1,16 +1,24 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""The folder that driver and executors share, tables written there to cut lineage, and small tables that the driver holds."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that the driver holds itself.
+SMALL = 10_000
+
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; without that setting a temporary one, which only a local master can use."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="lattisca-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -24,3 +32,29 @@ def spool(df: DataFrame, tag: str) -> DataFrame:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@dataclass(frozen=True)
+class Held:
+    """Rows computed once. table: the rows themselves, if there are at most SMALL; otherwise df reads them from the shared folder."""
+
+    df: DataFrame
+    table: pa.Table | None
+
+    @property
+    def empty(self) -> bool:
+        return self.table is not None and self.table.num_rows == 0
+
+
+def local(spark: SparkSession, table: pa.Table, like: DataFrame) -> Held:
+    """Rows on the driver with the schema of like; plans over them fold at planning, without a job."""
+    table = table.combine_chunks()  # an empty first chunk would hide the others
+    return Held(spark.createDataFrame(table, schema=like.schema), table)
+
+
+def hold(df: DataFrame, tag: str) -> Held:
+    """df computed once: kept on the driver where it has at most SMALL rows, written to the shared folder where it has more."""
+    few = df.limit(SMALL + 1).toArrow()
+    if few.num_rows <= SMALL:
+        return local(df.sparkSession, few, df)
+    return Held(spool(df, tag), None)

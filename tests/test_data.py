@@ -12,7 +12,7 @@ from lattisca.plans import nodes as n
 from lattisca.plans.prepare import fits, prepare
 from lattisca.sources import lens, mapping, schema, system
 from lattisca.sources.relations import RelationInput
-from lattisca.streaming.maintenance import Change, Pool, Session, StaleBasis, bag_minus, change_between, snapshot_diff
+from lattisca.streaming.maintenance import Change, ChangeError, Pool, Session, StaleBasis, bag_minus, change_between, keyed, snapshot_diff
 from lattisca.streaming.observer import Observer
 
 f, lit = n.field, n.literal
@@ -27,6 +27,14 @@ def _plans():
         "filter": n.pipe(i, n.where(n.compare("gt", f("item", "score"), lit(3))), n.select("r", id=f("item", "id"), s=f("item", "score"))),
         "join": n.pipe(i, n.join(g, "inner", on), n.select("r", id=f("item", "id"), label=f("grp", "label"))),
         "semi": n.pipe(i, n.join(g, "semi", on), n.select("r", id=f("item", "id"))),
+        "anti": n.pipe(i, n.join(g, "anti", on), n.select("r", id=f("item", "id"))),
+        "left": n.pipe(i, n.join(g, "left", on), n.select("r", id=f("item", "id"), label=f("grp", "label"), alone=n.is_missing(f("grp", "label")))),
+        "join_aggregate": n.pipe(i, n.join(g, "inner", on), n.aggregate("a", {"label": f("grp", "label")}, n=n.measure("count"), high=n.measure("maximum", f("item", "score")), mean=n.measure("average", f("item", "score")))),
+        "aggregate_join": n.pipe(i, n.aggregate("a", {"g": f("item", "g")}, n=n.measure("count")), n.join(g, "left", n.eq(f("a", "g"), f("grp", "g"))), n.select("r", n=f("a", "n"), label=f("grp", "label"))),
+        "three": n.pipe(i, n.join(g, "inner", on), n.join(n.scan("item", "j"), "inner", n.eq(f("item", "id"), f("j", "id"))), n.select("r", id=f("j", "id"), label=f("grp", "label"))),
+        "join_window": n.pipe(i, n.join(g, "inner", on), n.window("item", nth=n.over("row-number", [n.by(f("item", "score"))], [f("item", "g")])), n.select("r", id=f("item", "id"), nth=f("item", "nth"))),
+        "sorted": n.pipe(i, n.order(n.by(f("item", "score"), "desc"), n.by(f("item", "id"))), n.select("r", id=f("item", "id"))),
+        "kleene": n.pipe(i, n.aggregate("a", {"g": f("item", "g")}, any=n.measure("any", n.compare("gt", f("item", "score"), lit(5))), every=n.measure("every", n.compare("gt", f("item", "score"), f("item", "g"))), low=n.measure("minimum", f("item", "g")))),
         "aggregate": n.pipe(i, n.aggregate("a", {"g": f("item", "g")}, n=n.measure("count"), low=n.measure("minimum", f("item", "score")), first=n.measure("first", f("item", "score"), [n.by(f("item", "id"))]))),
         "total": n.pipe(i, n.aggregate("a", {}, n=n.measure("count"), s=n.measure("sum", f("item", "score")))),
         "distinct": n.pipe(i, n.select("r", g=f("item", "g")), n.distinct()),
@@ -61,8 +69,65 @@ def test_maintained_rows_equal_recomputed_rows(spark, name):
         assert sorted(before + plus) == now
     with pytest.raises(StaleBasis):
         session.update({}, 0, 9)
-    if name in ("filter", "join", "aggregate", "distinct", "window"):
-        assert session.counts["selective"] and not session.counts["fallback"]
+    assert bool(session.counts["fallback"]) == (name == "top") != bool(session.counts["selective"])
+
+
+@pytest.mark.parametrize("name", sorted(set(_plans()) - {"top", "union"}))
+def test_added_rows_alone_are_folded(spark, name):
+    rng, plan = random.Random(name), _plans()[name]
+    items, groups = [(k, rng.choice([1, 2, 3, None]), rng.choice([None, 1, 6, 9])) for k in range(20)], [(1, "one"), (2, "two")]
+    relations = lambda k: {"item": [RelationInput(spark.createDataFrame(items[:k], ITEM), ("id",))], "grp": [RelationInput(spark.createDataFrame(groups, GROUP), ("g",))]}
+    session = Session(spark, plan, relations(10))
+    none = spark.createDataFrame([], ITEM)
+    for basis, k in enumerate((11, 14, 20)):
+        session.update({"item": Change(none, spark.createDataFrame(items[10 if not basis else (11, 14)[basis - 1] : k], ITEM))}, basis, basis + 1)
+        want, got = ([str(r) for r in df.collect()] for df in (Session(spark, plan, relations(k)).rows, session.rows))
+        assert got == want if name == "sorted" else sorted(got) == sorted(want)
+    assert not session.counts["fallback"] and (name not in ("kleene", "join_aggregate", "total", "distinct") or session.reasons["groups folded"] and not session.reasons["groups read anew"])
+
+
+def test_changes_must_fit_their_relation(spark):
+    make = lambda: {"item": [RelationInput(spark.createDataFrame([(1, 1, 1), (2, 1, 1)], ITEM), ("id",))]}
+    rows = lambda *r: spark.createDataFrame(list(r), ITEM)
+    for removed, added in ((rows(), rows((1, 2, 2))), (rows((7, 1, 1)), rows()), (rows(), rows((5, 1, 1), (5, 1, 2)))):
+        session = Session(spark, n.scan("item"), make())
+        with pytest.raises(ChangeError):
+            session.update({"item": Change(removed, added)}, 0, 1)
+        assert session.basis == 0 and session.rows.count() == 2
+
+
+def test_many_rows_go_to_the_shared_folder(spark):
+    """Changes and results beyond what the driver holds, and keys that come and go."""
+    make = spark.range(5000).selectExpr("CAST(id AS INT) AS id", "CAST(id % 7 AS INT) AS g", "CAST(id % 11 AS INT) AS score")
+    plans = {k: _plans()[k] for k in ("filter", "distinct", "aggregate", "window")}
+    pool, now = Pool(spark, {"item": [RelationInput(make, ("id",))]}), make
+    names = {k: pool.attach(p) for k, p in plans.items()}
+    for basis, (gone, new) in enumerate((("id % 3 = 0", "id % 2 = 0"), ("id = 6000", "id = 4"), ("id = 10004", "id < 0"))):
+        removed = now.filter(gone)
+        added = make.filter(new).selectExpr(f"CAST(id + {10000 * (basis + 1)} AS INT) AS id", "g", "score + 1 AS score")
+        removed = now.filter(gone)
+        pool.update({"item": Change(removed, added)}, basis, basis + 1)
+        now = now.filter(f"NOT ({gone})").unionByName(added)
+        for k, p in plans.items():
+            assert sorted(map(str, pool.rows(names[k]).collect())) == sorted(map(str, Session(spark, p, {"item": [RelationInput(now, ("id",))]}).rows.collect())), k
+
+
+def test_sessions_validate_and_know_their_completeness(spark):
+    df = spark.createDataFrame([(1, 1, 1)], ITEM)
+    with pytest.raises(QueryError):
+        Session(spark, n.pipe(n.scan("item"), n.where(n.eq(f("nowhere", "x"), lit(1)))), {"item": [RelationInput(df, ("id",))]})
+    count = n.pipe(n.scan("item"), n.aggregate("a", {}, n=n.measure("count")))
+    for known, plan, want in (("unknown", n.scan("item"), "unknown"), ("lower-bound", count, "unknown"), ("lower-bound", n.scan("item"), "lower-bound")):
+        session = Session(spark, plan, {"item": [RelationInput(df, ("id",), completeness=known)]})
+        assert session.completeness == want and (session.rows is None) == (want == "unknown")
+        assert (session.update({"item": Change(df.limit(0), spark.createDataFrame([(2, 2, 2)], ITEM))}, 0, 1) is None) == (want == "unknown")
+
+
+def test_changes_by_result_key(spark):
+    plan = n.pipe(n.scan("item"), n.aggregate("a", {"g": f("item", "g")}, n=n.measure("count")))
+    session = Session(spark, plan, {"item": [RelationInput(spark.createDataFrame([(1, 1, 1), (2, 2, 1)], ITEM), ("id",))]}, keys=True)
+    got = keyed(*session.update({"item": Change(spark.createDataFrame([(2, 2, 1)], ITEM), spark.createDataFrame([(3, 1, 1), (4, 9, 1)], ITEM))}, 0, 1)).collect()
+    assert sorted((r.change, r.before and r.before.n, r.after and r.after.n) for r in got) == [("added", None, 1), ("removed", 1, None), ("updated", 1, 2)]
 
 
 def test_unread_relations_cost_nothing_and_pools_share(spark):
@@ -71,11 +136,19 @@ def test_unread_relations_cost_nothing_and_pools_share(spark):
     session.update({"other": Change(spark.range(1), spark.range(1))}, 0, 1)
     assert session.counts == {"unaffected": 1} and session.basis == 1
     pool = Pool(spark, rel)
-    assert pool.attach(n.scan("item")) is pool.attach(n.scan("item"))
-    pool.detach(n.scan("item"))
-    assert len(pool.held) == 1
-    pool.detach(n.scan("item"))
-    assert not pool.held
+    count = n.pipe(n.scan("item"), n.aggregate("a", {"g": f("item", "g")}, n=n.measure("count")))
+    one, two, three = pool.attach(n.scan("item")), pool.attach(n.scan("item")), pool.attach(count)
+    four = pool.attach(n.pipe(count, n.where(n.compare("gt", f("a", "n"), lit(1)))))
+    assert one == two != three and len(pool.graph.groups) == 1
+    changed = pool.update({"item": Change(spark.createDataFrame([], ITEM), spark.createDataFrame([(2, 1, 5)], ITEM))}, 0, 1)
+    assert [r.n for r in pool.rows(three).collect()] == [r.n for r in pool.rows(four).collect()] == [2] and pool.rows(one).count() == 2
+    assert [len(r.collect()) for r in changed[three]] == [1, 1] and [len(r.collect()) for r in changed[four]] == [0, 1]
+    assert pool.graph.counts["selective"] == 2  # the scan and its groups, once for all queries
+    pool.detach(one)
+    assert len(pool.graph.roots) == 3
+    for key in (two, three, four):
+        pool.detach(key)
+    assert not pool.graph.roots and not pool.graph.groups
 
 
 def test_snapshot_diff(spark):
