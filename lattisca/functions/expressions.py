@@ -25,6 +25,62 @@ class QueryError(Exception):
         self.code = code
 
 
+#: The order of unlike kinds in total comparisons.
+KINDS = ("null", "string", "number", "boolean", "array", "record")
+
+
+def kind_of(t: T.DataType) -> str:
+    if isinstance(t, T.StringType):
+        return "string"
+    if isinstance(t, T.BooleanType):
+        return "boolean"
+    if isinstance(t, NUMBERS):
+        return "number"
+    if isinstance(t, T.ArrayType):
+        return "array"
+    if isinstance(t, T.NullType):
+        return "null"
+    return "record" if isinstance(t, (T.StructType, T.MapType)) else type(t).__name__
+
+
+def alike(a: T.DataType, b: T.DataType) -> bool:
+    """Whether Spark compares values of two types as plans do: the same kinds at every depth, and records of the same fields in order of name."""
+    if kind_of(a) != kind_of(b):
+        return False
+    if isinstance(a, T.ArrayType):
+        return alike(a.elementType, b.elementType)
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return a.fieldNames() == b.fieldNames() == sorted(b.fieldNames()) and all(alike(x.dataType, y.dataType) for x, y in zip(a.fields, b.fields))
+    return True
+
+
+def total_order(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:
+    """-1, 0 or 1, as a is before, like or after b. Null is first, then strings, numbers, booleans, arrays (item by item) and records (field by field, in order of name)."""
+    ka, kb = kind_of(ta), kind_of(tb)
+    if ka != kb:
+        rank = {k: i for i, k in enumerate(KINDS)}
+        out = F.lit(-1 if rank.get(ka, 6) < rank.get(kb, 6) else 1)
+    elif ka == "array":
+        n = F.least(F.size(a), F.size(b))
+        each = F.filter(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: total_order(x, ta.elementType, y, tb.elementType)), lambda c: c != 0)
+        out = F.when(F.size(each) > 0, F.try_element_at(each, F.lit(1))).otherwise(F.signum(F.size(a) - F.size(b)).cast("int"))
+    elif isinstance(ta, T.StructType) and isinstance(tb, T.StructType):
+        xs, ys = sorted(ta.fieldNames()), sorted(tb.fieldNames())
+        out, pairs = F.lit((len(xs) > len(ys)) - (len(xs) < len(ys))), []
+        for x, y in zip(xs, ys):
+            if x != y:
+                out = F.lit(-1 if x < y else 1)
+                break
+            pairs.append(total_order(a.getField(x), ta[x].dataType, b.getField(y), tb[y].dataType))
+        for c in reversed(pairs):
+            out = F.when(c != 0, c).otherwise(out)
+    elif ka == "null":
+        out = F.lit(0)
+    else:
+        out = F.when(a < b, -1).when(a == b, 0).otherwise(1)
+    return F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), -1).when(b.isNull(), 1).otherwise(out)
+
+
 @dataclass(frozen=True)
 class Lowered:
     value: Column
@@ -34,18 +90,7 @@ class Lowered:
 
     @property
     def kind(self) -> str:
-        t = self.type
-        if isinstance(t, T.StringType):
-            return "string"
-        if isinstance(t, T.BooleanType):
-            return "boolean"
-        if isinstance(t, NUMBERS):
-            return "number"
-        if isinstance(t, T.ArrayType):
-            return "array"
-        if isinstance(t, T.NullType):
-            return "null"
-        return "record" if isinstance(t, (T.StructType, T.MapType)) else type(t).__name__
+        return kind_of(self.type)
 
     def settled(self) -> Column:
         """The value; NULL where it is missing or unknown, which every value already is."""
@@ -141,10 +186,12 @@ class Lowering:
         a, b = left.value, right.value
         if "null" in (left.kind, right.kind):
             return Lowered(F.lit(None).cast("boolean"), T.BooleanType(), unknown=F.lit(True))
-        if left.kind != right.kind:
+        if not alike(left.type, right.type):
             both = a.isNotNull() & b.isNotNull()
-            result = F.when(both, F.lit(op == "ne")) if op in ("eq", "ne") else F.lit(None).cast("boolean")
-            return _unknown_if_null(result, T.BooleanType())
+            if op not in ("eq", "ne") and left.kind != right.kind and {left.kind, right.kind} != {"array", "record"}:
+                return Lowered(F.lit(None).cast("boolean"), T.BooleanType(), unknown=F.lit(True))
+            c = F.when(both, total_order(a, left.type, b, right.type))
+            return _unknown_if_null({"eq": c == 0, "ne": c != 0, "lt": c < 0, "lte": c <= 0, "gt": c > 0, "gte": c >= 0}[op], T.BooleanType())
         result = {"eq": a == b, "ne": a != b, "lt": a < b, "lte": a <= b, "gt": a > b, "gte": a >= b}[op]
         return _unknown_if_null(result, T.BooleanType())
 

@@ -85,5 +85,13 @@ def aggregate(engine, frame, node: dict, keys: bool, outer):
         df = frame.df.select(*aggs)  # a select stays open to an enclosing query's columns
     ids = {}
     if keys:
-        ids[alias] = F.concat(F.lit("aggregate:"), F.to_json(F.struct(*[scope[f].value.alias(f) for f in sorted(scope)]), {"ignoreNullFields": "false"}) if scope else F.lit("{}"))
+        parts = []
+        for f in sorted(scope):  # a missing field is left out, an unknown one is marked
+            x = scope[f]
+            text = F.to_json(F.struct(x.value.alias(f)), {"ignoreNullFields": "false"})
+            part = F.substring(text, F.lit(2), F.char_length(text) - 2)
+            if x.unknown is not None:
+                part = F.when(x.unknown, F.concat(part, F.lit("?"))).otherwise(part)
+            parts.append(part if x.missing is None else F.when(~x.missing, part))
+        ids[alias] = F.concat(F.lit("aggregate:{"), F.array_join(F.array(*parts), ",") if parts else F.lit(""), F.lit("}"))
     return Frame(df, {alias: scope | shown}, ids)

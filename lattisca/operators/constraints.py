@@ -48,8 +48,7 @@ def delete_with_references(tables: dict[str, DataFrame], keys: dict[str, str], r
             leaving = fresh[r["to"]].toDF("__gone")
             out = tables[r["from"]].join(leaving, tables[r["from"]][r["field"]] == leaving["__gone"], "left_semi")
             if r["action"] == "restrict":
-                live = out.join(doomed[r["from"]], keys[r["from"]], "left_anti") if r["from"] in doomed else out
-                if not live.isEmpty():
+                if not out.isEmpty():  # rows that go anyway refuse as well
                     raise WriteError("constraint.reference_restricted")
             elif r["action"] == "cascade":
                 more = out.select(keys[r["from"]])

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattisca.functions.expressions import QueryError
-from lattisca.sources.shared import spool
+from lattisca.sources.shared import Held, hold, local
 
 
 def recursive(engine, node: dict, keys: bool, outer):
@@ -16,8 +17,8 @@ def recursive(engine, node: dict, keys: bool, outer):
 
     The first derivation of a key stands, the one with the smallest identity among those of a round; rows without a known
     key drop out. More rounds or rows than the node allows raise ``query.recursion_budget_exceeded``. The
-    rows of each round are written to the shared folder, so rounds neither recompute nor pile up lineage, and what
-    the driver sees of them is their number.
+    rows of a round are computed once, on the driver where they are few and else in the shared folder, so rounds neither
+    recompute nor pile up lineage.
     """
     label = node["name"]
     from lattisca.plans.engine import Frame, name
@@ -43,11 +44,11 @@ def recursive(engine, node: dict, keys: bool, outer):
         key = F.concat(*[F.coalesce(name("#key", str(i)).cast("string"), F.lit("null")) for i in range(len(parts))])
         own = F.concat(F.lit(f"{len(label)}:{label}"), F.char_length(key).cast("string"), F.lit(":"), key)
         df = df.select(*[own.alias(c) if c.startswith("#id/") else name(c) for c in df.columns])
-        return spool(df, "round"), scope, {a: name("#id", a) for a in frame.ids}
+        return hold(df, "round"), scope, {a: name("#id", a) for a in frame.ids}
 
     new, scope, ids = admitted(engine.lower(node["seed"], True, outer), None)
-    rounds, all_rows, total = 0, [new], new.count()
-    count = total
+    rounds, total = 0, _count(new)
+    count, all_rows, new = total, [new], new.df
     while count:
         if total > node.get("maxRows", 100_000) or rounds >= node.get("maxIterations", 100):
             raise QueryError("query.recursion_budget_exceeded", label)
@@ -58,18 +59,27 @@ def recursive(engine, node: dict, keys: bool, outer):
             step = engine.lower(node["step"], True, outer)
         finally:
             engine.frontiers.pop(label) if before is None else engine.frontiers.__setitem__(label, before)
-        seen = all_rows[0]
-        for more in all_rows[1:]:
-            seen = seen.unionByName(more)
-        new, step_scope, _ = admitted(step, seen)
+        found, step_scope, _ = admitted(step, _all(engine.spark, all_rows))
         for a, fields in step_scope.items():
             for f in set(fields) ^ set(scope.get(a, {})):
                 raise QueryError("query.recursion_shape", f"{a}.{f}")
-        count = new.count()
+        count = _count(found)
         total += count
-        new = new.select(*[name(c) if c in new.columns else F.lit(False).alias(c) for c in all_rows[0].columns])
-        all_rows.append(new)
-    out = all_rows[0]
-    for more in all_rows[1:]:
-        out = out.unionByName(more)
-    return Frame(out, scope, ids if keys else {})
+        first = all_rows[0].df
+        new = found.df.select(*[name(c) if c in found.df.columns else F.lit(False).alias(c) for c in first.columns])
+        all_rows.append(hold(new, "round") if found.table is not None and found.df.columns != first.columns else Held(new, found.table))
+    return Frame(_all(engine.spark, all_rows), scope, ids if keys else {})
+
+
+def _count(rows: Held) -> int:
+    return rows.df.count() if rows.table is None else rows.table.num_rows
+
+
+def _all(spark, rows: list[Held]):
+    """Rows of all rounds: those on the driver as one table."""
+    few = [h.table for h in rows if h.table is not None]
+    out = local(spark, pa.concat_tables([t.cast(few[0].schema) for t in few]), next(h.df for h in rows if h.table is not None)).df if few else None
+    for h in rows:
+        if h.table is None:
+            out = h.df if out is None else out.unionByName(h.df)
+    return out

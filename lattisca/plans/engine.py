@@ -406,14 +406,15 @@ class Engine:
         beyond, same = F.lit(False), F.lit(True)
         for t, v in zip(node["by"], after["order"]):
             x, first, down = lower(t["value"]), t.get("nulls", "last") == "first", t["direction"] == "desc"
-            null_rank = -1 if first else 1
-            rank = F.when(x.value.isNull(), null_rank).otherwise(0)
+            here = 3 if first else 0  # as in sort_columns(): null is before missing, both behind or both ahead of values
+            rank = F.when(x.value.isNull(), 1).otherwise(here)
+            rank = rank if x.missing is None else F.when(x.missing, 2).otherwise(rank)
             if v is None:
-                later, equal = rank > null_rank, rank == null_rank
+                later, equal = rank > 1, rank == 1
             else:
-                at = F.lit(v).cast(x.type)
+                at = constant(v).value.cast(x.type)
                 moved = x.value < at if down else x.value > at
-                later, equal = (rank > 0) | (F.coalesce(moved, F.lit(False))), F.coalesce(x.value == at, F.lit(False))
+                later, equal = (rank > here) | F.coalesce(moved, F.lit(False)), F.coalesce(x.value == at, F.lit(False))
             beyond, same = beyond | (same & later), same & equal
         frame = replace(frame, df=frame.df.filter(beyond | (same & (frame.identity() > F.lit(after["resultKey"])))))
         by = [*self.sort_columns(node["by"], lower), frame.identity().asc()]

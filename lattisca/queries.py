@@ -131,6 +131,13 @@ def array_record():
     return n.pipe(n.scan("nation", "x"), n.select("r", n_nationkey=a, mirrored=n.eq(n.array(a, b), n.array(b, a)), after_pair=n.compare("gt", n.record(k=a), n.record(k=b))))
 
 
+@plan("SELECT n_nationkey, FALSE AS other_field, n_nationkey = n_regionkey AS same_field, FALSE AS other_item, n_nationkey < n_regionkey AS less, TRUE AS ahead FROM nation")
+def compare_nested():
+    """Records of other fields and arrays of other kinds differ; arrays come before records."""
+    a, b, s = f("x", "n_nationkey"), f("x", "n_regionkey"), f("x", "n_name")
+    return n.pipe(n.scan("nation", "x"), n.select("r", n_nationkey=a, other_field=n.eq(n.record(a=a), n.record(b=a)), same_field=n.eq(n.record(a=a, s=n.array(s)), n.record(a=b, s=n.array(s))), other_item=n.eq(n.array(a), n.array(s)), less=n.compare("lt", n.array(a), n.array(b)), ahead=n.compare("lt", n.array(a), n.record(k=s))))
+
+
 @plan("SELECT s_suppkey, s_acctbal AS s_nationkey, s_nationkey::DOUBLE + 1 AS s_acctbal, s_name FROM supplier")
 def with_fields():
     return n.pipe(n.scan("supplier", "s"), n.with_fields("s", s_nationkey=f("s", "s_acctbal"), s_acctbal=n.arithmetic("add", f("s", "s_nationkey"), lit(1))))
@@ -187,9 +194,10 @@ def join_semi():
     return n.pipe(n.scan("customer", "c"), n.join(n.scan("orders", "o"), "semi", on), n.select("r", c_custkey=f("c", "c_custkey"), c_name=f("c", "c_name")))
 
 
-@plan("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@plan("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def join_anti():
-    return n.pipe(n.scan("customer", "c"), n.join(n.scan("orders", "o"), "anti", n.eq(f("o", "o_custkey"), f("c", "c_custkey"))), n.select("r", c_custkey=f("c", "c_custkey")))
+    on = n.all_of(n.eq(f("o", "o_custkey"), f("c", "c_custkey")), n.compare("gt", f("o", "o_totalprice"), lit(200000)))
+    return n.pipe(n.scan("customer", "c"), n.join(n.scan("orders", "o"), "anti", on), n.select("r", c_custkey=f("c", "c_custkey")))
 
 
 @plan("SELECT a.s_suppkey AS one, b.s_suppkey AS two FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
@@ -419,9 +427,9 @@ def recursive_reach():
     return n.recursive("reach", n.values("x", [{"node": 1}]), step, [f("x", "node")])
 
 
-@plan("SELECT c_custkey, c_nationkey AS id_of, NULL::VARCHAR AS origin FROM customer WHERE c_custkey < 100")
+@plan("SELECT c_custkey, c_nationkey AS id_of, NULL::VARCHAR AS origin FROM customer")
 def key_and_source():
-    return n.pipe(n.scan("customer", "c"), n.where(n.compare("lt", f("c", "c_custkey"), lit(100))), n.with_fields("c", id=f("c", "c_nationkey")), n.select("r", c_custkey=f("c", "c_custkey"), id_of=n.key_of("c"), origin=n.source_of("c")))
+    return n.pipe(n.scan("customer", "c"), n.with_fields("c", id=f("c", "c_nationkey")), n.select("r", c_custkey=f("c", "c_custkey"), id_of=n.key_of("c"), origin=n.source_of("c")))
 
 
 # Maintenance, mappings, lenses, constraints and writes.
@@ -443,6 +451,9 @@ def _without_and_new(name: str):
     return "(SELECT * FROM orders WHERE NOT (o_orderkey % 101 = 7) UNION ALL SELECT o_orderkey + 100000000, o_custkey, o_orderstatus, o_totalprice * 2, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 103 = 9)"
 
 
+_ON = n.all_of(n.eq(f("orders", "o_custkey"), f("customer", "c_custkey")), n.compare("gt", f("orders", "o_totalprice"), lit(150000)))
+
+
 def _new_events(rows):
     return rows.filter("event_id % 89 = 5").withColumns({"event_id": F.col("event_id") + 10000000, "value": F.col("value") + 1})
 
@@ -470,6 +481,56 @@ def ivm_join(spark, sf_dir):
     return _session(spark, sf_dir, root, "orders", "o_orderkey % 101 = 7", _new_orders)
 
 
+@query(f"SELECT c_custkey, o_orderkey FROM customer LEFT JOIN {_without_and_new('orders')} ON o_custkey = c_custkey AND o_totalprice > 150000")
+def ivm_left(spark, sf_dir):
+    return _session(spark, sf_dir, n.pipe(n.scan("customer"), n.join(n.scan("orders"), "left", _ON), n.select("r", c_custkey=f("customer", "c_custkey"), o_orderkey=f("orders", "o_orderkey"))), "orders", "o_orderkey % 101 = 7", _new_orders)
+
+
+@query(f"SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM {_without_and_new('orders')} WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
+def ivm_semi(spark, sf_dir):
+    return _session(spark, sf_dir, n.pipe(n.scan("customer"), n.join(n.scan("orders"), "semi", _ON), n.select("r", c_custkey=f("customer", "c_custkey"))), "orders", "o_orderkey % 101 = 7", _new_orders)
+
+
+@query(f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM {_without_and_new('orders')} WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
+def ivm_anti(spark, sf_dir):
+    return _session(spark, sf_dir, n.pipe(n.scan("customer"), n.join(n.scan("orders"), "anti", _ON), n.select("r", c_custkey=f("customer", "c_custkey"))), "orders", "o_orderkey % 101 = 7", _new_orders)
+
+
+@query(f"SELECT c_mktsegment, count(*) AS n, max(o_totalprice) AS high FROM {_without_and_new('orders')} JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def ivm_join_aggregate(spark, sf_dir):
+    root = n.pipe(n.scan("orders"), n.join(n.scan("customer"), "inner", n.eq(f("orders", "o_custkey"), f("customer", "c_custkey"))), n.aggregate("g", {"c_mktsegment": f("customer", "c_mktsegment")}, n=n.measure("count"), high=n.measure("maximum", f("orders", "o_totalprice"))))
+    return _session(spark, sf_dir, root, "orders", "o_orderkey % 101 = 7", _new_orders)
+
+
+@query(f"SELECT event_id, value FROM {_without_and_new('events')}")
+def ivm_sorted(spark, sf_dir):
+    root = n.pipe(n.scan("events"), n.order(n.by(f("events", "value"), "desc")), n.select("r", event_id=f("events", "event_id"), value=f("events", "value")))
+    return _session(spark, sf_dir, root, "events", "event_id % 97 = 3", _new_events)
+
+
+@query(f"SELECT 'count' AS plan, count(*)::DOUBLE AS x FROM {_without_and_new('events')} UNION ALL SELECT 'mean', round(avg(value), 6) FROM {_without_and_new('events')} UNION ALL SELECT 'types', count(DISTINCT event_type) FROM {_without_and_new('events')}")
+def ivm_pool(spark, sf_dir):
+    """Three queries of one pool, after one update of all."""
+    from lattisca.streaming.maintenance import Change, Pool
+
+    pool, rows = Pool(spark, catalog(spark, sf_dir, ["events"], KEYS)), spark.read.parquet(f"{sf_dir}/events.parquet")
+    scan, x = n.scan("events"), f("events", "value")
+    names = [pool.attach(p) for p in (n.pipe(scan, n.aggregate("g", {}, x=n.measure("count"))), n.pipe(scan, n.aggregate("g", {}, x=n.measure("average", x))), n.pipe(scan, n.select("r", t=f("events", "event_type")), n.distinct(), n.aggregate("g", {}, x=n.measure("count"))))]
+    pool.update({"events": Change(rows.filter("event_id % 97 = 3"), _new_events(rows))}, 0, 1)
+    out = [pool.rows(k).selectExpr(f"'{label}' AS plan", "round(CAST(x AS DOUBLE), 6) AS x") for k, label in zip(names, ("count", "mean", "types"))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"SELECT event_type, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'updated' END AS change, a.n AS before, b.n AS after FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) a FULL JOIN (SELECT event_type, count(*) AS n FROM {_without_and_new('events')} GROUP BY 1) b USING (event_type) WHERE a.n IS DISTINCT FROM b.n")
+def ivm_delta_by_key(spark, sf_dir):
+    from lattisca.streaming.maintenance import Change, Session, keyed
+
+    root = n.pipe(n.scan("events"), n.aggregate("g", {"event_type": f("events", "event_type")}, n=n.measure("count")))
+    session, rows = Session(spark, root, catalog(spark, sf_dir, ["events"], KEYS), keys=True), spark.read.parquet(f"{sf_dir}/events.parquet")
+    delta = keyed(*session.update({"events": Change(rows.filter("event_id % 97 = 3"), _new_events(rows))}, 0, 1))
+    return delta.selectExpr("coalesce(before.event_type, after.event_type) AS event_type", "change", "before.n AS before", "after.n AS after")
+
+
 @query(f"SELECT DISTINCT user_id, event_type FROM {_without_and_new('events')}")
 def ivm_distinct(spark, sf_dir):
     root = n.pipe(n.scan("events"), n.select("r", user_id=f("events", "user_id"), event_type=f("events", "event_type")), n.distinct())

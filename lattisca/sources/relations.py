@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 class RelationInput:
     """One attachment's rows of a relation.
 
-    occurrence: columns whose values identify a row for good; without them rows count in the order they are read, which is
-    stable for one stored table. basis: the version that cursors and updates must name.
+    occurrence: columns whose values identify a row for good; without them a row is known by the hash of its content, so
+    equal rows share an identity. basis: the version that cursors and updates must name.
     """
 
     df: DataFrame
@@ -26,7 +26,7 @@ class RelationInput:
 
     def occurrence_id(self, relation: str) -> Column:
         """Length-prefixed by the source, or else the attachment, so ids of different inputs never meet."""
-        own = F.concat_ws(":", F.lit(relation), *[F.col(f"`{c}`").cast("string") for c in self.occurrence]) if self.occurrence else F.concat(F.lit(relation + ":"), F.monotonically_increasing_id().cast("string"))
+        own = F.concat_ws(":", F.lit(relation), *[F.col(f"`{c}`").cast("string") for c in self.occurrence]) if self.occurrence else F.concat(F.lit(relation + ":"), F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in self.df.columns])), 256))
         name = self.source or self.attachment or ""
         return F.concat(F.lit(f"{len(name)}:{name}"), F.char_length(own).cast("string"), F.lit(":"), own)
 

@@ -148,6 +148,38 @@ def test_seek_pages_cover_all_rows_once(run):
     assert stale.df is None and stale.issues == ("query.cursor_stale",)
 
 
+@pytest.mark.parametrize("direction,nulls", [("asc", "last"), ("desc", "last"), ("asc", "first"), ("desc", "first")])
+def test_seek_passes_from_null_to_missing(run, direction, nulls):
+    src = n.values("v", [{"id": 0}, {"id": 1, "x": None}, {"id": 2, "x": 5}, {"id": 3, "x": 7}])
+    terms = [n.by(f("v", "x"), direction, nulls)]
+    whole = rows_of(run(n.pipe(src, n.order(*terms)), keys=True))
+    for k, r in enumerate(whole):
+        if r["id"]:
+            page = rows_of(run(n.pipe(src, n.seek(terms, {"order": [r["x"]], "resultKey": r["_key"], "basis": 4, "membershipRevision": 0})), keys=True, basis=4))
+            assert page == whole[k + 1 :]
+
+
+def test_nested_values_compare_by_kind_and_field(run):
+    arr, rec, c = n.array, n.record, n.compare
+    got = one(
+        run, fields=n.eq(rec(a=lit(1)), rec(b=lit(1))), more=n.eq(rec(a=lit(1)), rec(a=lit(1), b=lit(2))), kinds=n.eq(arr(lit("a")), arr(lit(1))), null=n.eq(arr(lit(None)), arr(lit(1))), deep=n.eq(rec(a=arr(rec(x=lit(1)))), rec(a=arr(rec(x=lit(1.0))))),
+        shorter=c("lt", arr(lit("a")), arr(lit(None), lit(1))), string_first=c("lt", arr(lit("z")), arr(lit(1))), array_first=c("gt", rec(a=lit(1)), arr(lit(1))), by_name=c("lt", rec(a=lit(9)), rec(b=lit(1))), scalar=c("lt", lit("a"), arr(lit(1))),
+    )
+    assert [got[k] for k in ("fields", "more", "kinds", "null", "deep", "shorter", "string_first", "array_first", "by_name", "scalar")] == [False, False, False, False, True, False, True, True, True, None]
+
+
+def test_groups_of_null_and_missing_have_keys_of_their_own(run):
+    src = n.values("i", [{"s": None}, {"s": 2}, {}])
+    keys = [r["_key"] for r in rows_of(run(n.pipe(src, n.aggregate("g", {"s": f("i", "s")}, n=n.measure("count"))), keys=True))]
+    assert len(set(keys)) == 3 and any('{"s":null}' in k for k in keys) and any("{}" in k for k in keys)
+
+
+def test_rows_without_keys_are_known_by_content(run, spark):
+    df = spark.createDataFrame([(3, 1), (1, 1), (2, 1)], "id int, x int")
+    order = lambda d: [r["id"] for r in rows_of(run(n.pipe(n.scan("t"), n.order(n.by(f("t", "x")))), {"t": [RelationInput(d)]}))]
+    assert order(df) == order(df.repartition(3)) == order(df.coalesce(1))
+
+
 def test_windows(run):
     src = n.values("p", [{"who": w, "pts": p} for w, p in (("Ada", 12), ("Bob", 8), ("Cy", 8), ("Dee", 3))])
     down = [n.by(f("p", "pts"), "desc")]
