@@ -1,13 +1,14 @@
-"""Language-model scores by deleted interpolation of bigrams.
+"""Language-model scores by deleted interpolation of trigrams, bigrams and single tokens.
 
-p(w | u) = l2 c(u, w) / c(u) + l1 c(w) / N + l0 / (V + 1), with weights l that depend on the bucket of c(u), the power of two
-it reaches. Counts are gathered from all training texts. One in seven of the texts is held out of them while the weights
-are learned: expectation-maximisation on its tokens against the counts of the rest. The model then uses all
+p2(w | v) = l2 c(v, w) / c(v) + l1 c(w) / N + l0 / (V + 1), and p(w | u, v) = l3 c(u, v, w) / c(u, v) + (1 - l3) p2(w | v). The weights
+of each order depend on the bucket of its context's count, the power of two that c(v) or c(u, v) reaches. Counts are
+gathered from all training texts. One in seven of the texts is held out of them while the weights
+are learned: expectation-maximisation on its tokens against the counts of the rest, first for p2, then for p given p2. The model then uses all
 training counts with those weights.
 
 N-gram counts never meet token rows: chunks of documents send their distinct keys and counts to hash buckets and get
 the totals back in the order they sent them (exchange.py). For the weights, held-out tokens are summed in cells of
-(bucket, quantised ratio of the bigram to the uniform share, the same of the unigram): a table of bounded size, on which the driver runs EM.
+(bucket, quantised ratio of each mixed share to the uniform one): a table of bounded size for each order, on which the driver runs EM.
 A cell's ratios are off by a factor of 2 to the power of 1/16 (4.4 %) at most; this touches the weights alone, scores take exact counts.
 """
 
@@ -25,8 +26,8 @@ from lattisca.llm.common import spool
 
 #: Of the crc32 of the id, modulo 7: texts that are scored unseen, and training texts held out for the weights.
 MOD, UNSEEN, DELETED = 7, 2, 6
-#: Buckets of context counts (0, 1, 2-3, 4-7, ...), steps of a doubling in a cell, rounds of EM.
-LEVELS, STEPS, ROUNDS = 24, 8, 60
+#: Buckets of context counts (0, 1, 2-3, 4-7, ...), steps of a doubling in a cell, the step of ratio 1, rounds of EM.
+LEVELS, STEPS, EVEN, ROUNDS = 24, 8, 1000, 60
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BEGIN, _END = np.uint64(0x5EED0000BEEF0001), np.uint64(0x5EED0000BEEF0002)
 
@@ -56,6 +57,9 @@ class Tokens:
         self.before = np.concatenate([[_BEGIN], self.words[:-1]]) if len(self.words) else self.words
         self.before[self.first] = _BEGIN
         self.pairs = x.mix(self.before, self.words)
+        self.later = np.ones(len(self.words), dtype=bool)  # tokens with two before them, the beginning counted as one
+        self.later[self.first] = False
+        self.triples = x.mix(self.pairs[:-1], self.words[1:])[self.later[1:]]
 
     def singles(self) -> np.ndarray:
         """Each word token, and the beginning once a document: contexts are counted among them."""
@@ -66,28 +70,29 @@ def _total(keys: np.ndarray, weights: np.ndarray, number: np.ndarray) -> np.ndar
     return np.bincount(number, weights, len(keys)).astype(np.int64)
 
 
-def fit_weights(cells: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (l2, l1, l0) of each level by EM. cells: rows of level, steps of the bigram ratio, steps of the unigram ratio (-1: zero), tokens."""
-    out = np.tile(np.array([0.4, 0.5, 0.1]), (LEVELS, 1))
+def fit_weights(cells: np.ndarray, start: list[float], rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of each level by EM, the first of them that of the highest order, which is 0 at level 0.
+
+    cells: rows of level, steps of the ratio of each mixed share to the uniform one (-1: zero), tokens. start: the first weights, and counts as one token.
+    """
+    out = np.tile(np.array(start), (LEVELS, 1))
     for k in range(LEVELS):
         own = cells[cells[:, 0] == k]
-        ratio = np.ones((len(own), 3))
-        for c in (1, 2):
-            ratio[:, c - 1] = np.where(own[:, c] >= 0, 2.0 ** ((own[:, c] - 1000) / STEPS), 0)
+        ratio = np.where(own[:, 1:-1] >= 0, 2.0 ** ((own[:, 1:-1] - EVEN) / STEPS), 0)
         lam = out[k]
         for _ in range(rounds):
             share = ratio * lam
             share /= share.sum(axis=1, keepdims=True)
-            lam = (own[:, 3] @ share if len(own) else np.zeros(3)) + np.array([0.4, 0.5, 0.1])
+            lam = (own[:, -1] @ share if len(own) else np.zeros(len(start))) + np.array(start)
             lam = np.maximum(lam / lam.sum(), 1e-6)
             lam /= lam.sum()
         out[k] = lam
-    out[0] = [0, out[0, 1], out[0, 2]]
+    out[0, 0] = 0
     return out / out.sum(axis=1, keepdims=True)
 
 
 def _cell(share: np.ndarray, uniform: float) -> np.ndarray:
-    return np.where(share > 0, np.rint(np.log2(np.maximum(share, 1e-300) / uniform) * STEPS) + 1000, -1).astype(np.int64)
+    return np.where(share > 0, np.rint(np.log2(np.maximum(share, 1e-300) / uniform) * STEPS) + EVEN, -1).astype(np.int64)
 
 
 def score_texts(docs: DataFrame, chunk: int = x.CHUNK, bucket: int = x.BUCKET) -> DataFrame:
@@ -111,7 +116,11 @@ def score_texts(docs: DataFrame, chunk: int = x.CHUNK, bucket: int = x.BUCKET) -
                     trains = np.array([part_of(i) != UNSEEN for i, _ in main], dtype=float)
                     weight = np.repeat(trains, a.sizes)
                     row = []
-                    for keys, weights, others in ((np.concatenate([a.singles(), b.singles()]), np.concatenate([weight, trains]), len(b.words) + len(b.sizes)), (np.concatenate([a.pairs, b.pairs]), weight, len(b.pairs))):
+                    for keys, weights, others in (
+                        (np.concatenate([a.singles(), b.singles()]), np.concatenate([weight, trains]), len(b.words) + len(b.sizes)),
+                        (np.concatenate([a.pairs, b.pairs]), weight, len(b.pairs)),
+                        (np.concatenate([a.triples, b.triples]), weight[a.later], len(b.triples)),
+                    ):
                         distinct, at = np.unique(keys, return_inverse=True)
                         kept = _total(distinct, weights, at[: len(at) - others])
                         gone = np.bincount(at[len(at) - others :], minlength=len(distinct))
@@ -120,41 +129,41 @@ def score_texts(docs: DataFrame, chunk: int = x.CHUNK, bucket: int = x.BUCKET) -
                         parts = []
                         for distinct, kept, gone, cut in row:
                             s = slice(cut[k], cut[k + 1])
-                            parts += [distinct[s].tobytes(), x.squeeze(kept[s].tobytes()), x.squeeze(gone[s].astype(np.int64).tobytes())]
-                        if parts[0] or parts[3]:
+                            parts += [x.pack_sorted(distinct[s]), x.pack(kept[s]), x.pack(gone[s])]
+                        if any(cut[k + 1] > cut[k] for *_, cut in row):
                             yield k, number, *parts
 
-        yield from x.rows(["bucket", "chunk", *names], sent(), [pa.int32(), pa.int64(), *[pa.binary()] * 6])
+        yield from x.rows(["bucket", "chunk", *names], sent(), [pa.int32(), pa.int64(), *[pa.binary()] * 9])
 
-    names = ["keys1", "kept1", "gone1", "keys2", "kept2", "gone2"]
+    names = [c + n for n in "123" for c in ("keys", "kept", "gone")]
 
     def ints(data: bytes) -> np.ndarray:
-        return np.frombuffer(x.unsqueeze(data), dtype=np.int64)
+        return x.unpack(data).view(np.int64)
 
     def add(part: pa.Table) -> pa.Table:
         bucket, asked = part["bucket"][0].as_py(), part["chunk"].to_pylist()
-        answers = [[c, bucket, 0] for c in asked]
-        stats = [0, 0, 0]
-        for n in ("1", "2"):
-            keys = [np.frombuffer(k, dtype=np.uint64) for k in part["keys" + n].to_pylist()]
-            kept, gone = ([ints(v) for v in part[c + n].to_pylist()] for c in ("kept", "gone"))
+        answers = [[c, bucket, 0, 0, 0] for c in asked]
+        total = [-1, bucket]
+        for n in "123":
+            keys = [x.unpack_sorted(k.as_py()) for k in part["keys" + n]]
+            kept, gone = ([ints(v.as_py()) for v in part[c + n]] for c in ("kept", "gone"))
             distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
             kept_all, gone_all = _total(distinct, np.concatenate(kept), at), _total(distinct, np.concatenate(gone), at)
             both = kept_all + gone_all
             if n == "1":
                 real = both[distinct != _BEGIN]
-                stats = [int(real.sum()), int((real > 0).sum()), int(kept_all[distinct != _BEGIN].sum())]
+                total += [int(real.sum()), int((real > 0).sum()), int(kept_all[distinct != _BEGIN].sum())]
             base = 0
             for answer, k, g in zip(answers, keys, gone):
                 own = at[base : base + len(k)]
                 base += len(k)
-                answer += [len(k), x.squeeze(both[own].tobytes()), x.squeeze(kept_all[own[g > 0]].tobytes())]
-        answers.append([-1, bucket, stats[2], stats[0], b"", b"", stats[1], b"", b""])
-        return x.table(["chunk", "bucket", "n0", "n1", "all1", "kept1", "n2", "all2", "kept2"], [tuple(a) for a in answers], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
+                answer += [x.pack(both[own]), x.pack(kept_all[own[g > 0]])]
+        return x.table(list(answer_columns), [tuple(a) for a in [*answers, [*total, *[b""] * 6]]], [pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 6])
 
+    answer_columns = {"chunk": "bigint", "bucket": "int", "tokens": "bigint", "types": "bigint", "tokens_kept": "bigint"} | {c + n: "binary" for n in "123" for c in ("all", "kept")}
     asked = packed.mapInArrow(ask, "bucket int, chunk bigint, " + ", ".join(f"{n} binary" for n in names))
-    answers = spool(asked.groupBy("bucket").applyInArrow(add, "chunk bigint, bucket int, n0 bigint, n1 bigint, all1 binary, kept1 binary, n2 bigint, all2 binary, kept2 binary"), "counts")
-    totals = answers.filter("chunk = -1").agg(F.sum("n1"), F.sum("n2"), F.sum("n0")).first()  # one row a bucket
+    answers = spool(asked.groupBy("bucket").applyInArrow(add, ", ".join(f"{c} {t}" for c, t in answer_columns.items())), "counts")
+    totals = answers.filter("chunk = -1").agg(F.sum("tokens"), F.sum("types"), F.sum("tokens_kept")).first()  # one row a bucket
     n_all, v_all, n_kept = (int(n or 0) for n in totals)
     uniform = 1.0 / (v_all + 1)
 
@@ -162,33 +171,56 @@ def score_texts(docs: DataFrame, chunk: int = x.CHUNK, bucket: int = x.BUCKET) -
         got = sorted(zip(part["bucket"].to_pylist(), part[column].to_pylist()))
         return np.concatenate([np.zeros(0, dtype=np.int64), *[ints(v) for _, v in got]])
 
-    def looked_up(t: Tokens, singles: np.ndarray, pairs: np.ndarray):
-        """Counts of each token's pair, of what stands before it, and of the token."""
-        distinct, at = np.unique(t.singles(), return_inverse=True)
-        single = singles[at[: len(t.words)]]
-        begin = singles[np.searchsorted(distinct, _BEGIN)]
-        before = np.concatenate([[begin], single[:-1]])
-        before[t.first] = begin
-        return pairs[np.unique(t.pairs, return_inverse=True)[1]], before, single
-
-    def shares(pair, before, single, n):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(before > 0, pair / np.maximum(before, 1), 0), single / max(n, 1)
-
-    def held(own: pa.Table, got: pa.Table) -> pa.Table:
-        cells = np.zeros((0, 4), dtype=np.int64)
-        if own.num_rows and (docs_ := x.thaw(own["other"][0].as_py())):
-            t = Tokens(docs_, x.Words())
-            pair, before, single = looked_up(t, counts(got, "kept1"), counts(got, "kept2"))
-            two, one = shares(pair, before, single, n_kept)
-            cell = np.stack([level(before), _cell(two, uniform), _cell(one, uniform)], axis=1)
-            distinct, n = np.unique(cell, axis=0, return_counts=True)
-            cells = np.column_stack([distinct, n])
-        return pa.table({c: pa.array(cells[:, k]) for k, c in enumerate(("level", "two", "one", "n"))})
-
-    deleted = packed.select("chunk", "other").groupBy("chunk").cogroup(answers.select("chunk", "bucket", "kept1", "kept2").filter("chunk >= 0").groupBy("chunk"))
-    grid = deleted.applyInArrow(held, "level bigint, two bigint, one bigint, n bigint").groupBy("level", "two", "one").agg(F.sum("n")).collect()  # cells, not tokens
-    weights = fit_weights(np.array([tuple(r) for r in grid], dtype=float).reshape(-1, 4))
+    def looked_up(t: Tokens, got: pa.Table, kind: str) -> list[np.ndarray]:
+        """Counts of each token's triple, of the pair before it, of its pair, of the token before it, and of the token."""
+
+        def of(keys: np.ndarray, n: str) -> np.ndarray:
+            return counts(got, kind + n)[np.unique(keys, return_inverse=True)[1]]
+
+        def before(count: np.ndarray, first: int) -> np.ndarray:
+            out = np.concatenate([[0], count[:-1]])
+            out[t.first] = first
+            return out
+
+        singles = of(t.singles(), "1")
+        single, pair, triple = singles[: len(t.words)], of(t.pairs, "2"), np.zeros(len(t.words), dtype=np.int64)
+        triple[t.later] = of(t.triples, "3")
+        return [triple, before(pair, 0), pair, before(single, singles[-1]), single]
+
+    def shares(count: list[np.ndarray], n: int) -> list[np.ndarray]:
+        """The maximum-likelihood estimates by trigrams, bigrams and single tokens."""
+        triple, two_before, pair, before, single = count
+        return [np.where(c > 0, k / np.maximum(c, 1), 0) for k, c in ((triple, two_before), (pair, before))] + [single / max(n, 1)]
+
+    def mixed(two: np.ndarray, one: np.ndarray, lam: np.ndarray) -> np.ndarray:
+        return lam[:, 0] * two + lam[:, 1] * one + lam[:, 2] * uniform
+
+    def held(lower: np.ndarray | None):
+        """Cells of the held-out tokens: of bigrams, or of trigrams given the weights of bigrams."""
+
+        def cells_of(own: pa.Table, got: pa.Table) -> pa.Table:
+            cells = np.zeros((0, 5), dtype=np.int64)
+            if own.num_rows and (docs_ := x.thaw(own["other"][0].as_py())):
+                count = looked_up(Tokens(docs_, x.Words()), got, "kept")
+                three, two, one = shares(count, n_kept)
+                even = np.full(len(one), EVEN)
+                if lower is None:
+                    cell = [level(count[3]), _cell(two, uniform), _cell(one, uniform), even]
+                else:
+                    cell = [level(count[1]), _cell(three, uniform), _cell(mixed(two, one, lower[level(count[3])]), uniform), even]
+                distinct, n = np.unique(np.stack(cell, axis=1), axis=0, return_counts=True)
+                cells = np.column_stack([distinct, n])
+            return pa.table({c: pa.array(cells[:, k]) for k, c in enumerate(("level", "high", "low", "even", "n"))})
+
+        return cells_of
+
+    def learned(lower: np.ndarray | None, columns: list[str], start: list[float]) -> np.ndarray:
+        source = packed.select("chunk", "other").groupBy("chunk").cogroup(answers.select("chunk", "bucket", "kept1", "kept2", "kept3").filter("chunk >= 0").groupBy("chunk"))
+        grid = source.applyInArrow(held(lower), "level bigint, high bigint, low bigint, even bigint, n bigint").groupBy(*columns).agg(F.sum("n")).collect()  # cells, not tokens
+        return fit_weights(np.array([tuple(r) for r in grid], dtype=float).reshape(-1, len(columns) + 1), start)
+
+    lower = learned(None, ["level", "high", "low", "even"], [0.4, 0.5, 0.1])
+    upper = learned(lower, ["level", "high", "low"], [0.4, 0.6])
 
     def scored(own: pa.Table, got: pa.Table) -> pa.Table:
         out = []
@@ -196,10 +228,10 @@ def score_texts(docs: DataFrame, chunk: int = x.CHUNK, bucket: int = x.BUCKET) -
             main, other = x.thaw(own["main"][0].as_py()), x.thaw(own["other"][0].as_py())
             both = main + other
             t = Tokens(both, x.Words())
-            pair, before, single = looked_up(t, counts(got, "all1"), counts(got, "all2"))
-            two, one = shares(pair, before, single, n_all)
-            lam = weights[level(before)]
-            p = lam[:, 0] * two + lam[:, 1] * one + lam[:, 2] * uniform if n_all else np.ones(len(single))
+            count = looked_up(t, got, "all")
+            three, two, one = shares(count, n_all)
+            single, lam = count[4], upper[level(count[1])]
+            p = lam[:, 0] * three + lam[:, 1] * mixed(two, one, lower[level(count[3])]) if n_all else np.ones(len(single))
             of = np.repeat(np.arange(len(both)), t.sizes)
             score = np.bincount(of, np.log10(p), len(both))
             base = np.bincount(of, np.log10((single + 1) / (n_all + v_all + 1)), len(both))
@@ -207,5 +239,5 @@ def score_texts(docs: DataFrame, chunk: int = x.CHUNK, bucket: int = x.BUCKET) -
             out = [(i, part_of(i) == UNSEEN, int(t.sizes[k]), int(seen[k]), n_all, float(base[k]), float(score[k])) for k, (i, _) in enumerate(both)]
         return x.table(["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], out, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])
 
-    every = packed.select("chunk", "main", "other").groupBy("chunk").cogroup(answers.select("chunk", "bucket", "all1", "all2").filter("chunk >= 0").groupBy("chunk"))
+    every = packed.select("chunk", "main", "other").groupBy("chunk").cogroup(answers.select("chunk", "bucket", "all1", "all2", "all3").filter("chunk >= 0").groupBy("chunk"))
     return every.applyInArrow(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -471,10 +471,71 @@ def test_language_model(spark, docs, rows, none):
 
 
 def test_language_model_probabilities_add_up():
-    weights = ngram.fit_weights(np.array([[3, 1040, 1008, 50], [3, -1, 1004, 20], [0, -1, 1000, 9]], dtype=float))
+    weights = ngram.fit_weights(np.array([[3, 1040, 1008, 1000, 50], [3, -1, 1004, 1000, 20], [0, -1, 1000, 1000, 9]], dtype=float), [0.4, 0.5, 0.1])
     assert np.allclose(weights.sum(axis=1), 1) and (weights[:, 2] > 0).all() and weights[0, 0] == 0 and weights[3, 0] > weights[5, 0]
 
 
+def _plain_model(tokens, part):
+    """Scores by dictionaries, and by EM over each held-out token."""
+    train = {i: own for i, own in tokens if part(i) != 2}
+
+    def counted(texts):
+        one, two, three, contexts = {}, {}, {}, {}
+        for own in texts:
+            for k, w in enumerate(own):
+                u, v = own[k - 2] if k > 1 else ("begin",), own[k - 1] if k else ("begin",)
+                one[w] = one.get(w, 0) + 1
+                contexts[v if k else ("begin",)] = contexts.get(v if k else ("begin",), 0) + 1
+                two[k == 0, v, w] = two.get((k == 0, v, w), 0) + 1
+                if k:
+                    three[k == 1, u, v, w] = three.get((k == 1, u, v, w), 0) + 1
+        return one, two, three, contexts, sum(one.values())
+
+    def parts(own, model):
+        one, two, three, contexts, n = model
+        for k, w in enumerate(own):
+            u, v = own[k - 2] if k > 1 else ("begin",), own[k - 1] if k else ("begin",)
+            c1 = contexts.get(v if k else ("begin",), 0)
+            c2 = two.get((k == 1, u, v), 0) if k else 0
+            yield c2, c1, three.get((k == 1, u, v, w), 0) / c2 if c2 and k else 0, two.get((k == 0, v, w), 0) / c1 if c1 else 0, one.get(w, 0) / n
+
+    full, kept = counted(train.values()), counted(own for i, own in train.items() if part(i) != 6)
+    uniform = 1 / (len(full[0]) + 1)
+    unseen = [p for i, own in train.items() if part(i) == 6 for p in parts(own, kept)]
+    level = lambda c: c.bit_length()
+
+    def em(rows, start):
+        lam = list(start)
+        for _ in range(ngram.ROUNDS):
+            new = list(start)
+            for row in rows:
+                share = [a * b for a, b in zip(lam, row)]
+                new = [a + b / sum(share) for a, b in zip(new, share)]
+            lam = [max(a / sum(new), 1e-6) for a in new]
+        return lam
+
+    low = {c: em([(b, a, uniform) for _, c1, _, b, a in unseen if level(c1) == c], (0.4, 0.5, 0.1)) for c in range(24)}
+    low[0] = [0, low[0][1], low[0][2]]
+    low = {c: [a / sum(v) for a in v] for c, v in low.items()}
+    below = lambda c1, b, a: sum(p * q for p, q in zip(low[level(c1)], (b, a, uniform)))
+    high = {c: em([(t, below(c1, b, a)) for c2, c1, t, b, a in unseen if level(c2) == c], (0.4, 0.6))[0] if c else 0 for c in range(24)}
+    return {i: sum(np.log10(high[level(c2)] * t + (1 - high[level(c2)]) * below(c1, b, a)) for c2, c1, t, b, a in parts(own, full)) for i, own in tokens}
+
+
+def test_language_model_scores(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{k}" for k in range(40)]
+    texts = [(i, " ".join(vocabulary[k] for k in np.minimum(rng.geometric(0.12, size=30), 40) - 1)) for i in range(60)]
+    texts = [*texts, *((100 + i, texts[i][1]) for i in range(0, 60, 9)), (200, ""), (201, None), (202, "^ ^^ unheard")]
+    part = lambda i: zlib.crc32(str(i).encode()) % 7
+    want = _plain_model([(i, [*words(lower(t)), None]) for i, t in texts], part)
+    got = {r.doc_id: r.score for r in ngram.score_texts(spark.createDataFrame(texts, "doc_id bigint, text string"), chunk=2000, bucket=4000).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - s) <= 0.01 * abs(s) + 1e-6 for i, s in want.items())
+    twice = [i for i, _ in texts[:60:9] if part(i) != 2 and part(100 + i) != 2]
+    once = [i for i, _ in texts[:60] if i % 9 and part(i) != 2]
+    assert np.mean([got[i] for i in twice]) > np.mean([got[i] for i in once])
+
+
 # 10
 
 
