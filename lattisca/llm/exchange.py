@@ -26,8 +26,8 @@ CHUNK, BUCKET = 6_000_000, 10_000_000
 Docs = list[tuple[int | None, bytes | None]]
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def squeeze(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unsqueeze(data: bytes) -> bytes:
@@ -52,12 +52,12 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=np.uint64)
 
 
-def freeze(docs: Docs) -> bytes:
+def freeze(docs: Docs, level: int = 1) -> bytes:
     sink = pa.BufferOutputStream()
     batch = pa.record_batch([pa.array([i for i, _ in docs], pa.int64()), pa.array([t for _, t in docs], pa.large_binary())], names=["doc_id", "text"])
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return squeeze(sink.getvalue())
+    return squeeze(sink.getvalue(), level)
 
 
 def thaw(data: bytes) -> Docs:
@@ -65,10 +65,10 @@ def thaw(data: bytes) -> Docs:
     return list(zip(table["doc_id"].to_pylist(), table["text"].to_pylist()))
 
 
-def chunks(docs: DataFrame, apart: Callable[[int | None], bool] = lambda i: False, size: int = CHUNK) -> DataFrame:
+def chunks(docs: DataFrame, apart: Callable[[int | None], bool] = lambda i: False, size: int = CHUNK, level: int = 1) -> DataFrame:
     """(chunk, bytes, main, other): docs in chunks of about ``size`` bytes, those whose id is ``apart`` in other; written to the shared folder.
 
-    A text longer than size is a chunk of its own.
+    A text longer than size is a chunk of its own. level: of compression.
     """
 
     def packed(batches):
@@ -79,10 +79,10 @@ def chunks(docs: DataFrame, apart: Callable[[int | None], bool] = lambda i: Fals
                 (other if apart(i) else main).append((i, t))
                 total += len(t or b"") + 16
                 if total >= size:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([at + n], [total], [freeze(main)], [freeze(other)]), schema)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([at + n], [total], [freeze(main, level)], [freeze(other, level)]), schema)], schema=schema)
                     n, total, main, other = n + 1, 0, [], []
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([at + n], [total], [freeze(main)], [freeze(other)]), schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([at + n], [total], [freeze(main, level)], [freeze(other, level)]), schema)], schema=schema)
 
     return spool(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(packed, "chunk bigint, bytes bigint, main binary, other binary"), "chunks")
 

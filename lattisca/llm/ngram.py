@@ -105,7 +105,7 @@ def score_texts(docs: DataFrame, chunk: int = x.CHUNK, bucket: int = x.BUCKET) -
     have the end alone. A null doc_id counts as '' and so trains. Repeated rows count and score as often as they come; without a
     training text all counts are zero and every token has probability 1. An empty table gives no rows; other columns aren't read.
     """
-    packed = x.chunks(docs, apart=lambda i: part_of(i) == DELETED, size=chunk)
+    packed = x.chunks(docs, apart=lambda i: part_of(i) == DELETED, size=chunk, level=6)
     buckets = x.buckets_for(packed, bucket)
 
     def ask(batches):
