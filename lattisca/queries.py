@@ -736,3 +736,184 @@ def schema_parsed(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").withColumn("s_name", F.when(F.col("s_acctbal") >= 0, F.col("s_name")))
     relation = {"relationId": "supplier", "key": ["s_suppkey"], "fields": {"s_suppkey": {"type": {"kind": "integer"}}, "s_name": {"type": {"kind": "string"}}}}
     return parse_rows(rows, relation)[0].select("s_suppkey")
+
+
+# Operators that until here only tests of their own reached.
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+def join_reference(spark, sf_dir):
+    """A join along a declared reference, from its fields to the key of its target."""
+    reference = {"fields": ["n_regionkey"], "target": {"relation": "region", "fields": ["r_regionkey"]}}
+    to = reference["target"]
+    on = [n.eq(f("n", a), f("r", b)) for a, b in zip(reference["fields"], to["fields"])]
+    return run(spark, sf_dir, n.pipe(n.scan("nation", "n"), n.join(n.scan(to["relation"], "r"), "inner", on[0]), n.select("x", n_name=f("n", "n_name"), r_name=f("r", "r_name"))))
+
+
+@plan("SELECT c_nationkey, c_custkey FROM (SELECT c_nationkey, c_custkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS k FROM customer) t WHERE k <= 40")
+def order_ties_by_key():
+    """Equal terms are ordered by the rows' key."""
+    return n.pipe(n.scan("customer", "c"), n.order(n.by(f("c", "c_nationkey"))), n.cut(limit=40), n.select("r", c_nationkey=f("c", "c_nationkey"), c_custkey=f("c", "c_custkey")))
+
+
+@query("SELECT * FROM (VALUES ('absent alias', 'alias_missing'), ('name of a group and a measure', 'name_clash'), ('one alias twice', 'alias_overlap'), ('slice below zero', 'slice_bounds')) t(plan, code)")
+def plans_refused(spark, sf_dir):
+    """Plans that the static checks refuse, with what they say."""
+    from lattisca.plans.validate import validate
+
+    rows, s = n.scan("supplier", "s"), f("s", "s_nationkey")
+    plans = {
+        "absent alias": n.pipe(rows, n.where(n.eq(f("t", "s_nationkey"), lit(1)))),
+        "name of a group and a measure": n.pipe(rows, n.aggregate("g", {"k": s}, k=n.measure("count"))),
+        "one alias twice": n.pipe(rows, n.join(rows, "inner", n.eq(s, s))),
+        "slice below zero": n.pipe(rows, n.cut(limit=-1)),
+    }
+    return spark.createDataFrame([(name, code) for name, p in plans.items() for _, code in validate(p, {"supplier"}, set())], "plan string, code string")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY s_suppkey), 'copy', s_nationkey, 0.0 FROM supplier WHERE s_nationkey = 3")
+def tx_generated_key(spark, sf_dir):
+    """Rows without keys are numbered on from the largest key, without gaps; they are alike, so their order doesn't show."""
+    from lattisca.operators.writes import transact
+
+    store = _store(spark, sf_dir)
+    rows = store.tables["supplier"].filter("s_nationkey = 3").select(F.lit("copy").alias("s_name"), "s_nationkey", F.lit(0.0).alias("s_acctbal"))
+    transact(store, [{"kind": "insert-generated-key", "relation": "supplier", "rows": rows}])
+    return store.tables["supplier"]
+
+
+@query("SELECT * FROM supplier UNION ALL SELECT s_suppkey + 500000, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 9000")
+def tx_insert_by_plan(spark, sf_dir):
+    """insert-from-query itself: the plan runs over the transaction's own state."""
+    from lattisca.operators.writes import transact
+
+    x = lambda a: f("supplier", a)
+    store = _store(spark, sf_dir)
+    rich = n.pipe(n.scan("supplier"), n.where(n.compare("gt", x("s_acctbal"), lit(9000))), n.select("supplier", s_suppkey=n.arithmetic("add", x("s_suppkey"), lit(500000)), s_name=x("s_name"), s_nationkey=x("s_nationkey"), s_acctbal=x("s_acctbal")))
+    transact(store, [{"kind": "insert-from-query", "relation": "supplier", "root": rich}])
+    return store.tables["supplier"]
+
+
+@query("SELECT * REPLACE (s_acctbal * 2 AS s_acctbal) FROM supplier WHERE s_acctbal > 0")
+def tx_replace_all(spark, sf_dir):
+    from lattisca.operators.writes import transact
+
+    store = _store(spark, sf_dir)
+    rows = store.tables["supplier"].filter("s_acctbal > 0").withColumn("s_acctbal", F.col("s_acctbal") * 2)
+    transact(store, [{"kind": "replace-all", "relation": "supplier", "rows": rows}])
+    return store.tables["supplier"]
+
+
+@query("SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal >= 0 GROUP BY s_nationkey")
+def tx_returning(spark, sf_dir):
+    """A named plan over the state after the write."""
+    from lattisca.operators.writes import transact
+
+    grouped = n.pipe(n.scan("supplier"), n.aggregate("g", {"s_nationkey": f("supplier", "s_nationkey")}, n=n.measure("count")))
+    return transact(_store(spark, sf_dir), [{"kind": "delete", "relation": "supplier", "when": lambda df: df["s_acctbal"] < 0}], returning={"left": grouped})["returning"]["left"]
+
+
+@query("SELECT 'simulated' AS state, count(*) AS n FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT 'kept', count(*) FROM supplier")
+def tx_simulate(spark, sf_dir):
+    """A simulated write shows its state and leaves the store as it is."""
+    from lattisca.operators.writes import transact
+
+    store = _store(spark, sf_dir)
+    tried = transact(store, [{"kind": "delete", "relation": "supplier", "when": lambda df: df["s_acctbal"] < 0}], simulate=True)["tables"]["supplier"]
+    count = lambda df, state: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(state).alias("state"), "n")
+    return count(tried, "simulated").unionByName(count(store.tables["supplier"], "kept"))
+
+
+@query("SELECT * FROM (VALUES (0, 'version 1'), (1, 'write.key_exists'), (2, 'version 2')) t(place, outcome)")
+def tx_sequence(spark, sf_dir):
+    """Transactions one after another; one that is refused leaves those after it alone."""
+    from lattisca.operators.writes import sequence
+
+    store = _store(spark, sf_dir)
+    rows = store.tables["supplier"]
+    new = rows.withColumn("s_suppkey", F.col("s_suppkey") + 100000)
+    delete = {"kind": "delete", "relation": "supplier", "when": lambda df: df["s_acctbal"] < 0}
+    got = sequence(store, [[{"kind": "insert", "relation": "supplier", "rows": new}], [{"kind": "insert", "relation": "supplier", "rows": new}], [delete]], stop=False)
+    return spark.createDataFrame([(k, r.get("error") or f"version {r['version']}") for k, r in enumerate(got)], "place int, outcome string")
+
+
+@query("SELECT s_suppkey, s_nationkey AS place FROM supplier")
+def lens_hide(spark, sf_dir):
+    from lattisca.sources.lens import view
+
+    steps = [{"kind": "lens.field", "from": "s_suppkey", "to": "s_suppkey"}, {"kind": "lens.field", "from": "s_acctbal", "to": "s_acctbal"}, {"kind": "lens.field", "from": "s_nationkey", "to": "place"}, {"kind": "lens.hide", "from": "s_acctbal"}]
+    return view(spark.read.parquet(f"{sf_dir}/supplier.parquet"), steps)[0]
+
+
+@query("SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 1 ELSE s_nationkey END AS s_nationkey, s_acctbal FROM supplier")
+def lens_edit(spark, sf_dir):
+    """An edit of a view's fields, translated back and written to the stored relation."""
+    from lattisca.operators.writes import transact
+    from lattisca.sources.lens import translate
+
+    store = _store(spark, sf_dir)
+    steps = [{"kind": "lens.value-map", "from": "s_nationkey", "to": "place", "cases": [{"from": 1, "to": "one", "writeBack": "to-from"}, {"from": 2, "to": "two", "writeBack": "to-from"}]}]
+    stored = translate({"place": "one"}, steps)
+    transact(store, [{"kind": "update", "relation": "supplier", "when": lambda df: df["s_acctbal"] < 0, "edits": {k: {"replace": v} for k, v in stored.items()}}])
+    return store.tables["supplier"]
+
+
+@query("SELECT s_suppkey, s_nationkey AS nation FROM supplier")
+def lens_path(spark, sf_dir):
+    """The lenses that lead from one version of a schema to another, applied one after another."""
+    from lattisca.sources.lens import path, view
+
+    same = {"kind": "lens.field", "from": "s_suppkey", "to": "s_suppkey"}
+    steps = {"a": [same, {"kind": "lens.field", "from": "s_nationkey", "to": "place"}], "b": [same, {"kind": "lens.field", "from": "place", "to": "nation"}], "c": [same]}
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    for i in path([("a", "1", "2"), ("b", "2", "3"), ("c", "1", "4")], "1", "3"):
+        rows = view(rows, steps[i])[0]
+    return rows
+
+
+@query("SELECT event_id, user_id::VARCHAR AS u FROM events WHERE event_type = 'click'")
+def mapping_rejected(spark, sf_dir):
+    """Candidates of a mapping that lack their key are reported, not projected."""
+    from lattisca.sources.mapping import project
+
+    text = F.when(F.col("event_type") == "click", F.format_string('[{"u": %s}]', F.col("user_id").cast("string"))).otherwise('[{"k": 1}]')
+    docs = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.alias("doc"))
+    mapping = {"collection": {"kind": "array", "path": [], "absent": "empty"}, "keys": {"k": {"path": ["k"]}}, "fields": {"u": {"path": ["u"]}}}
+    return project(docs, "doc", mapping, ["event_id"])[1].select("event_id", F.get_json_object("_item", "$.u").alias("u"))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click'")
+def mapping_absent(spark, sf_dir):
+    """Documents without the collection, where its absence is invalid."""
+    from lattisca.sources.mapping import project
+
+    text = F.when(F.col("event_type") == "click", F.lit("{}")).otherwise('{"items": [{"k": 1}]}')
+    docs = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.alias("doc"))
+    mapping = {"collection": {"kind": "array", "path": ["items"], "absent": "invalid"}, "keys": {"k": {"path": ["k"]}}, "fields": {}}
+    return project(docs, "doc", mapping, ["event_id"])[1].select("event_id")
+
+
+@query("WITH RECURSIVE r AS (SELECT 0::BIGINT AS node UNION SELECT n_nationkey + 5 FROM r JOIN nation ON n_nationkey = node) SELECT DISTINCT 'n' || node AS source FROM r")
+def linked_sources(spark, sf_dir):
+    """Sources found by following links, each nation linking to the fifth after it."""
+    from lattisca.sources.system import discover
+
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("at"), F.concat(F.lit("n"), (F.col("n_nationkey") + 5).cast("string")).alias("to"))
+    found, _ = discover(["n0"], lambda s: rows.filter(F.col("at") == s).select("to"))
+    return spark.createDataFrame([(s,) for s in found], "source string")
+
+
+@query("SELECT relationId, attachmentId FROM (VALUES ('nation', 'nation:0'), ('supplier', 'supplier:0')) t(relationId, attachmentId)")
+def system_memberships(spark, sf_dir):
+    from lattisca.sources.system import system_relations
+
+    own = system_relations(spark, catalog(spark, sf_dir, ["nation", "supplier"], KEYS))
+    return evaluate(spark, n.pipe(n.scan("system.memberships", "m"), n.select("r", relationId=f("m", "relationId"), attachmentId=f("m", "attachmentId"))), own).df
+
+
+@query("SELECT * FROM (VALUES ('id', 'orders.cheap')) t(id, code)")
+def system_constraints(spark, sf_dir):
+    from lattisca.sources.system import system_relations
+
+    own = system_relations(spark, catalog(spark, sf_dir, ["orders"], KEYS), constraints=[{"id": "id", "code": "orders.cheap"}])
+    return evaluate(spark, n.pipe(n.scan("system.constraints", "c"), n.select("r", id=f("c", "id"), code=f("c", "code"))), own).df
