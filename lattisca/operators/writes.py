@@ -94,6 +94,40 @@ def delete_where(df: DataFrame, when: Column) -> DataFrame:
     return df.filter(~F.coalesce(when, F.lit(False)))
 
 
+class Ledger:
+    """What became of the operations of an epoch, so that one which is sent again isn't done again.
+
+    It is held by the driver and promises nothing after a restart. Entries of the current epoch are never evicted: beyond ``most`` of them
+    new operations are refused until rotate() begins another epoch, whose name must be new.
+    """
+
+    def __init__(self, epoch: str = "0", most: int = 65_536):
+        self.epoch, self.most, self.retired = epoch, most, set()
+        self.entries: dict[str, tuple[str, dict]] = {}
+
+    def known(self, operation: str, command: str = "", epoch: str | None = None) -> dict | None:
+        """The receipt of an operation that was done; None if it wasn't seen. The same name with another command is refused."""
+        if epoch not in (None, self.epoch):
+            raise WriteError("operation.expired")
+        if operation not in self.entries:
+            if len(self.entries) >= self.most:
+                raise WriteError("operation.ledger_full")
+            return None
+        said, receipt = self.entries[operation]
+        if said != command:
+            raise WriteError("operation.ambiguous")
+        return receipt
+
+    def record(self, operation: str, command: str, receipt: dict) -> None:
+        self.entries[operation] = command, receipt
+
+    def rotate(self, epoch: str) -> None:
+        if not epoch or epoch == self.epoch or epoch in self.retired:
+            raise WriteError("operation.epoch_reused")
+        self.retired.add(self.epoch)
+        self.epoch, self.entries = epoch, {}
+
+
 @dataclass
 class Store:
     """Versioned relations. A commit names the version it was made from; another one in between refuses it."""
@@ -103,6 +137,7 @@ class Store:
     keys: dict[str, list[str]]
     version: int = 0
     receipts: list[dict] = field(default_factory=list)
+    ledger: Ledger = field(default_factory=Ledger)
     subscribers: list[Callable[[int], None]] = field(default_factory=list)
 
     def subscribe(self, hear: Callable[[int], None]) -> Callable[[], None]:
@@ -130,15 +165,23 @@ def predicate(engine: Engine, df: DataFrame, relation: str, test: dict) -> tuple
     return frame.df, x.value
 
 
-def transact(store: Store, statements: list[Callable | dict], guards: list[dict] | None = None, returning: dict[str, dict] | None = None, simulate: bool = False, attempts: int = 16) -> dict:
+def transact(store: Store, statements: list[Callable | dict], guards: list[dict] | None = None, returning: dict[str, dict] | None = None, simulate: bool = False, attempts: int = 16, operation: str | None = None, command: str = "", epoch: str | None = None) -> dict:
     """Statements on a snapshot, checked by guards, then published at once.
 
     A statement is {kind, relation, ...}: insert, upsert (onConflict), replace-all and keyed-delta take rows (a DataFrame);
     insert-from-query takes root; insert-generated-key takes rows without the key, which is numbered on from the largest; update takes
     when (a function of the DataFrame) and edits; delete takes when. Guards: {kind: count, statement, of: inserted, deleted or
     changed, op: eq, gte or lte, value} and {kind: query, root, expect: exists or empty}. returning: named plans over the new
-    state. simulate leaves the store alone. A stale basis is tried again from the new version.
+    state. simulate leaves the store alone. A stale basis is tried again from the new version. Where every statement is a
+    replace-all by equal rows, nothing is published and the version stays.
+
+    operation names the transaction in the store's ledger: sent again under the same name, with the same command (a text that
+    stands for what it does) and epoch, it isn't done again, and ``replayed`` marks the first receipt, {version}.
     """
+    if operation is not None and not simulate and (receipt := store.ledger.known(operation, command, epoch)) is not None:
+        return {**receipt, "replayed": True}
+    from lattisca.streaming.maintenance import snapshot_diff
+
     for _ in range(attempts):
         version, tables, counts = store.version, dict(store.tables), []
         for s in statements:
@@ -167,7 +210,8 @@ def transact(store: Store, statements: list[Callable | dict], guards: list[dict]
                 after = delete_where(before, s["when"](before))
             else:
                 raise WriteError("write.capability_unavailable")
-            tables[relation] = spool(after, "staged")
+            same = kind == "replace-all" and snapshot_diff(before, after, key).isEmpty()
+            tables[relation] = before if same else spool(after, "staged")
             counts.append((relation, before, tables[relation], key))
         for g in guards or []:
             if g["kind"] == "query":
@@ -176,8 +220,6 @@ def transact(store: Store, statements: list[Callable | dict], guards: list[dict]
                     raise WriteError("write.guard_failed")
                 continue
             _, before, after, key = counts[g["statement"]]
-            from lattisca.streaming.maintenance import snapshot_diff
-
             kinds = {"inserted": ["insert"], "deleted": ["delete"], "changed": ["insert", "delete", "update"]}[g["of"]]
             n = snapshot_diff(before, after, key).filter(F.col("change").isin(kinds)).count()
             if not {"eq": n == g["value"], "gte": n >= g["value"], "lte": n <= g["value"]}[g["op"]]:
@@ -186,7 +228,11 @@ def transact(store: Store, statements: list[Callable | dict], guards: list[dict]
         if simulate:
             return {"version": version, "tables": tables, "returning": shown}
         try:
-            return {"version": store.commit(tables, version), "tables": tables, "returning": shown}
+            unchanged = version == store.version and all(tables[t] is df for t, df in store.tables.items())
+            receipt = {"version": version if unchanged else store.commit(tables, version)}
+            if operation is not None:
+                store.ledger.record(operation, command, receipt)
+            return {**receipt, "tables": tables, "returning": shown}
         except WriteError as e:
             if "stale" not in str(e):
                 raise
@@ -206,6 +252,36 @@ def sequence(store: Store, transactions: list[list[dict]], stop: bool = True) ->
     return out
 
 
+def batch(steps: list[dict], stop: bool = True, cancelled: Callable[[], bool] = lambda: False) -> dict:
+    """Transactions on one or several stores, one after another and without a common rollback.
+
+    A step is {id, store, statements} and what else transact() takes. The receipt: outcome (complete, partial, failed or unknown), for each step
+    its outcome (applied, failed, unattempted or unknown) with the version or the error, and issues. A step that fails for another reason than a
+    refusal has an unknown outcome. stop: none is tried after one that wasn't applied. cancelled is asked before each step. Two steps of one id: none is tried.
+    """
+    done, issues, halted = [], [], False
+    if len({s["id"] for s in steps}) != len(steps):
+        return {"outcome": "failed", "steps": [{"id": s["id"], "outcome": "unattempted"} for s in steps], "issues": ["transaction.batch_step_id_duplicate"]}
+    for s in steps:
+        if not halted and cancelled():
+            halted = True
+            issues.append("transaction.cancelled")
+        if halted:
+            done.append({"id": s["id"], "outcome": "unattempted"})
+            continue
+        try:
+            made = transact(s["store"], s["statements"], **{k: v for k, v in s.items() if k not in ("id", "store", "statements")})
+            done.append({"id": s["id"], "outcome": "applied", "version": made["version"]})
+        except WriteError as e:
+            done.append({"id": s["id"], "outcome": "failed", "error": str(e)})
+        except Exception as e:
+            done.append({"id": s["id"], "outcome": "unknown", "error": type(e).__name__})
+            issues.append("transaction.outcome_unavailable")
+        halted = stop and done[-1]["outcome"] != "applied"
+    found = {s["outcome"] for s in done}
+    return {"outcome": "unknown" if "unknown" in found else "complete" if found <= {"applied"} else "partial" if "applied" in found else "failed", "steps": done, "issues": issues}
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """rows with ``__n``, distinct numbers from 0. Counts of partitions make them gapless without ordering rows in one task."""
     at = spool(rows, "numbered").withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id() % (1 << 33)})

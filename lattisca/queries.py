@@ -917,3 +917,102 @@ def system_constraints(spark, sf_dir):
 
     own = system_relations(spark, catalog(spark, sf_dir, ["orders"], KEYS), constraints=[{"id": "id", "code": "orders.cheap"}])
     return evaluate(spark, n.pipe(n.scan("system.constraints", "c"), n.select("r", id=f("c", "id"), code=f("c", "code"))), own).df
+
+
+@query("SELECT l_partkey % 2 = 0 AND l_suppkey % 10 = 0 AS emptied, count(*) AS n, count(l_partkey) FILTER (l_partkey % 2 <> 0 OR l_suppkey % 10 <> 0) AS referring FROM lineitem GROUP BY 1")
+def referential_fields(spark, sf_dir):
+    """References of two fields, emptied where their parent leaves."""
+    from lattisca.operators.constraints import delete_with_references
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    offers = lines.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).distinct()
+    gone = offers.filter("part % 2 = 0 AND supplier % 10 = 0")
+    refs = [{"from": "lineitem", "field": ["l_partkey", "l_suppkey"], "to": "offers", "action": "set-null"}]
+    after = delete_with_references({"lineitem": lines, "offers": offers}, {"lineitem": ["l_orderkey", "l_linenumber"], "offers": ["part", "supplier"]}, refs, "offers", gone)
+    return after["lineitem"].groupBy((F.col("l_partkey").isNull() & F.col("l_suppkey").isNull()).alias("emptied")).agg(F.count(F.lit(1)).alias("n"), F.count("l_partkey").alias("referring"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'applied'), ('b', 'failed'), ('c', 'unattempted'), ('all', 'partial')) t(step, outcome)")
+def tx_batch(spark, sf_dir):
+    """Transactions on two stores without a common rollback: one is applied, one refused, and none tried after it."""
+    from lattisca.operators.writes import batch
+
+    one, two = _store(spark, sf_dir), _store(spark, sf_dir)
+    delete = {"kind": "delete", "relation": "supplier", "when": lambda df: df["s_acctbal"] < 0}
+    clash = {"kind": "insert", "relation": "supplier", "rows": two.tables["supplier"]}
+    got = batch([{"id": "a", "store": one, "statements": [delete]}, {"id": "b", "store": two, "statements": [clash]}, {"id": "c", "store": two, "statements": [delete]}])
+    return spark.createDataFrame([(s["id"], s["outcome"]) for s in got["steps"]] + [("all", got["outcome"])], "step string, outcome string")
+
+
+@query("SELECT 1 AS version, count(*) AS n, sum(s_acctbal + 1) AS total FROM supplier")
+def tx_replay(spark, sf_dir):
+    """An operation that is sent twice is done once."""
+    from lattisca.operators.writes import transact
+
+    store = _store(spark, sf_dir)
+    more = [{"kind": "update", "relation": "supplier", "when": lambda df: F.lit(True), "edits": {"s_acctbal": {"increment": 1}}}]
+    for _ in range(2):
+        version = transact(store, more, operation="raise", command="increment s_acctbal by 1")["version"]
+    return store.tables["supplier"].agg(F.lit(version).alias("version"), F.count(F.lit(1)).alias("n"), F.sum("s_acctbal").alias("total"))
+
+
+@query("SELECT s_suppkey, '[\"' || s_suppkey || '\",\"' || i || '\"]' AS item, i AS place, 'p' || (s_suppkey * 10 + i + 1) AS name FROM supplier, range(3) t(i)")
+def mapping_metadata(spark, sf_dir):
+    """Items of an array known by their place in their document."""
+    from lattisca.sources.mapping import relation
+
+    parts = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(F.concat(F.lit("p"), F.col("s_suppkey") * 10 + i).alias("name")))
+    docs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.to_json(F.struct(parts.alias("parts"))).alias("body"))
+    meta = lambda v: {"kind": "source-metadata", "value": v}
+    how = {"collection": {"kind": "array", "path": ["parts"], "absent": "creatable"}, "keys": {"item": meta("collection-element-identity")}, "fields": {"place": meta("collection-position"), "name": {"path": ["name"]}}}
+    own = relation(docs, "body", how, ["s_suppkey"])
+    if own.completeness != "exact":
+        raise ValueError(own.completeness)
+    return own.df
+
+
+@query("SELECT 'state' AS field, 'open' AS value, count(*) AS n FROM orders WHERE o_orderstatus = 'P' HAVING count(*) > 0")
+def lens_lossy(spark, sf_dir):
+    """Rows seen through a case that can't be written back."""
+    from lattisca.sources.lens import lossy
+
+    cases = [{"from": a, "to": b, "writeBack": w} for a, b, w in (("O", "open", "to-from"), ("F", "done", "to-from"), ("P", "open", "reject"))]
+    return lossy(spark.read.parquet(f"{sf_dir}/orders.parquet"), [{"kind": "lens.value-map", "from": "o_orderstatus", "to": "state", "cases": cases}])
+
+
+def _regions(spark, sf_dir, more=lambda r: {}):
+    """A source for each region, of its nations."""
+    from lattisca.sources.relations import RelationInput
+    from lattisca.streaming.session import Source
+
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return [Source(f"r{r}", {"nation": RelationInput(nations.filter(F.col("n_regionkey") == r), KEYS["nation"])} | more(r)) for r in range(5)]
+
+
+@query("SELECT n_regionkey AS region, count(*) AS n FROM nation WHERE n_regionkey <> 3 AND NOT (n_regionkey = 1 AND n_nationkey % 2 = 0) GROUP BY 1")
+def session_members(spark, sf_dir):
+    """A session over a source for each region: one that comes later, one that leaves, and rows that leave another."""
+    from lattisca.streaming.maintenance import Change
+    from lattisca.streaming.session import Member, QuerySession
+
+    parts = _regions(spark, sf_dir)
+    session = QuerySession(spark, n.pipe(n.scan("nation"), n.aggregate("a", {"region": n.field("nation", "n_regionkey")}, n=n.measure("count"))), [Member(p.id, p) for p in parts[:4]] + [Member("r4")])
+    if session.completeness != "unknown":
+        raise ValueError(session.completeness)
+    session.resolve("r4", parts[4])
+    session.detach("r3")
+    rows = parts[1].relations["nation"].df
+    session.update("r1", {"nation": Change(rows.filter("n_nationkey % 2 = 0"), rows.limit(0))}, 0)
+    return session.rows
+
+
+@query("SELECT n_regionkey AS region, count(*) AS n FROM nation WHERE n_regionkey <= 3 GROUP BY 1")
+def session_links(spark, sf_dir):
+    """A session that starts from one source and follows links, each to the source of the next region, up to the fourth."""
+    from lattisca.sources.relations import RelationInput
+    from lattisca.streaming.session import Member, QuerySession
+
+    links = lambda r: {"link": RelationInput(spark.createDataFrame([(f"r{r + 1}",)] if r < 3 else [], "target string"), ("target",))}
+    parts = {p.id: p for p in _regions(spark, sf_dir, links)}
+    count = n.pipe(n.scan("nation"), n.aggregate("a", {"region": n.field("nation", "n_regionkey")}, n=n.measure("count")))
+    return QuerySession(spark, count, [Member("r0", parts["r0"])], links=n.scan("link"), open_source=parts.get).rows

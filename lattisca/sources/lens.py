@@ -49,6 +49,17 @@ def view(df: DataFrame, steps: list[dict], relations: dict[str, DataFrame] | Non
     return marked.filter("_reason IS NULL").select(*[c.alias(n) for n, c in fields.items()]), marked.filter("_reason IS NOT NULL").select(*[F.col(f"`{c}`") for c in df.columns], "_reason")
 
 
+def lossy(df: DataFrame, steps: list[dict]) -> DataFrame:
+    """Warnings of a view: field, value (as text) and n, for each case of a value map that occurs and can't be written back. One row a case."""
+    out = df.sparkSession.createDataFrame([], "field string, value string, n bigint")
+    for s in steps:
+        if s["kind"] == "lens.value-map" and (cases := [c for c in s["cases"] if c["writeBack"] == "reject"]):
+            to = F.try_element_at(F.create_map(*[F.lit(x) for c in cases for x in (c["from"], c["to"])]), F.col(f"`{s['from']}`"))
+            hit = df.filter(F.col(f"`{s['from']}`").isin(*[c["from"] for c in cases])).select(to.cast("string").alias("value"))
+            out = out.unionByName(hit.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(F.lit(s["to"]).alias("field"), "value", "n"))
+    return out
+
+
 def translate(edit: dict, steps: list[dict]) -> dict:
     """An edit of view fields as an edit of stored fields; raises LensError for what a step doesn't let back."""
     out = {}

@@ -23,8 +23,11 @@ _TABLES = {
 }
 
 
-def system_relations(spark: SparkSession, relations: dict[str, list[RelationInput]], functions: dict | None = None, issues: list[tuple[str, str]] = (), constraints: list[dict] = (), edges: list[tuple[str, str]] = (), revision: int = 0) -> dict[str, list[RelationInput]]:
-    """The ten catalogue relations as inputs, named ``system.<name>``. They hold what the driver knows of a session, one row a source, field or issue."""
+def system_relations(spark: SparkSession, relations: dict[str, list[RelationInput]], functions: dict | None = None, issues: list[tuple[str, str]] = (), constraints: list[dict] = (), edges: list[tuple[str, str]] = (), revision: int = 0, repairs: list[tuple[str, str]] = ()) -> dict[str, list[RelationInput]]:
+    """The ten catalogue relations as inputs, named ``system.<name>``. They hold what the driver knows of a session, one row a source, field or issue.
+
+    repairs: (constraint, key of the row) of what the caller could mend.
+    """
     flat = [(r, i, x) for r, own in sorted(relations.items()) for i, x in enumerate(own)]
     rows = {
         "sources": sorted({(x.source, json.dumps(x.basis)) for _, _, x in flat if x.source}),
@@ -36,7 +39,7 @@ def system_relations(spark: SparkSession, relations: dict[str, list[RelationInpu
         "capabilities": sorted(functions or {}),
         "issues": list(issues),
         "constraints": [(c["id"], c["code"]) for c in constraints],
-        "repair_candidates": [],
+        "repair_candidates": sorted(repairs),
     }
     return {f"system.{n}": [RelationInput(spark.createDataFrame(rows[n], schema))] for n, schema in _TABLES.items()}
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from lattisca.functions.expressions import QueryError
 from lattisca.operators.constraints import check, delete_with_references
-from lattisca.operators.writes import Store, WriteError, sequence, transact, update_where
+from lattisca.operators.writes import Store, WriteError, batch, sequence, transact, update_where
 from lattisca.plans import nodes as n
 from lattisca.plans.prepare import fits, prepare
 from lattisca.sources import lens, mapping, schema, system
 from lattisca.sources.relations import RelationInput
 from lattisca.streaming.maintenance import Change, ChangeError, Pool, Session, StaleBasis, bag_minus, change_between, keyed, snapshot_diff
 from lattisca.streaming.observer import Observer
+from lattisca.streaming.session import Member, QuerySession, Source
 
 f, lit = n.field, n.literal
 ITEM = "id int, g int, score int"
@@ -285,8 +286,152 @@ def test_constraints_and_references(spark):
     assert check(spark, [{"id": "c", "code": "x", "violationQuery": n.scan("a")}], lower)[0].state == "indeterminate"
 
 
+def test_references_of_several_fields(spark):
+    tables = {
+        "a": spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "x int, y int"),
+        "b": spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 1, None), (4, 2, 1)], "id int, x int, y int"),
+        "c": spark.createDataFrame([(1, 1, 1, 4), (2, 2, 1, 1), (3, None, None, 1), (4, 2, 1, 4)], "id int, x int, y int, b int"),
+    }
+    keys = {"a": ["x", "y"], "b": "id", "c": "id"}
+    refs = [{"from": "b", "field": ["x", "y"], "to": "a", "action": "cascade"}, {"from": "c", "field": ["x", "y"], "to": "a", "action": "set-null"}, {"from": "c", "field": "b", "to": "b", "action": "set-null"}]
+    gone = spark.createDataFrame([(1, 1)], "x int, y int")
+    after = delete_with_references(tables, keys, refs, "a", gone)
+    rows = {t: sorted(map(str, map(tuple, df.collect()))) for t, df in after.items()}
+    assert rows["a"] == ["(1, 2)", "(2, 1)"] and rows["b"] == ["(2, 1, 2)", "(3, 1, None)", "(4, 2, 1)"]
+    assert rows["c"] == ["(1, None, None, 4)", "(2, 2, 1, None)", "(3, None, None, None)", "(4, 2, 1, 4)"]
+    assert delete_with_references(tables, keys, refs, "a", gone, most_rows=4)["a"].count() == 2
+    with pytest.raises(WriteError, match="budget"):
+        delete_with_references(tables, keys, refs, "a", gone, most_rows=3)
+    with pytest.raises(WriteError, match="invalid"):
+        delete_with_references(tables, keys, [{"from": "b", "field": "x", "to": "a", "action": "cascade"}], "a", gone)
+
+
+def test_operations_are_done_once(spark):
+    store = _store(spark)
+    gone = [{"kind": "delete", "relation": "t", "when": lambda df: df["id"] == 1}]
+    assert transact(store, gone, operation="o", command="delete 1")["version"] == 1
+    assert transact(store, gone, operation="o", command="delete 1") == {"version": 1, "replayed": True} and store.version == 1
+    with pytest.raises(WriteError, match="ambiguous"):
+        transact(store, gone, operation="o", command="delete 2")
+    store.ledger.most = 1
+    with pytest.raises(WriteError, match="full"):
+        transact(store, gone, operation="p")
+    store.ledger.rotate("1")
+    with pytest.raises(WriteError, match="expired"):
+        transact(store, gone, operation="o", epoch="0")
+    with pytest.raises(WriteError, match="reused"):
+        store.ledger.rotate("0")
+    same = [{"kind": "replace-all", "relation": "t", "rows": store.tables["t"]}]
+    assert transact(store, same)["version"] == 1 and store.version == 1
+    assert transact(store, [{**same[0], "rows": store.tables["t"].limit(0)}])["version"] == 2
+
+
+def test_batches_over_stores(spark):
+    one, two = _store(spark), _store(spark)
+    gone = lambda k: [{"kind": "delete", "relation": "t", "when": lambda df: df["id"] == k}]
+    bad, broken = [{"kind": "text", "relation": "t"}], [{"kind": "delete", "relation": "t", "when": lambda df: df["absent"] == 1}]
+    step = lambda i, store, s: {"id": i, "store": store, "statements": s}
+    got = batch([step("a", one, gone(1)), step("b", two, bad), step("c", two, gone(2))])
+    assert got["outcome"] == "partial" and [s["outcome"] for s in got["steps"]] == ["applied", "failed", "unattempted"] and (one.version, two.version) == (1, 0)
+    got = batch([step("a", one, broken), step("b", two, gone(2))], stop=False)
+    assert got["outcome"] == "unknown" and [s["outcome"] for s in got["steps"]] == ["unknown", "applied"] and two.version == 1
+    assert batch([step("a", one, gone(2)), step("a", two, gone(1))])["issues"] == ["transaction.batch_step_id_duplicate"] and one.version == 1
+    assert batch([step("a", one, gone(2))], cancelled=lambda: True) == {"outcome": "failed", "steps": [{"id": "a", "outcome": "unattempted"}], "issues": ["transaction.cancelled"]}
+    assert batch([]) == {"outcome": "complete", "steps": [], "issues": []}
+
+
+def test_mapped_metadata_and_completeness(spark):
+    docs = spark.createDataFrame([(1, '{"l": [{"v": 1}, {"v": 2}], "t": [{"id": "p", "kids": [{"id": "q"}]}, {"id": "r"}]}'), (2, "{}")], "d int, body string")
+    meta = lambda v: {"kind": "source-metadata", "value": v}
+    how = {"collection": {"kind": "array", "path": ["l"], "absent": "creatable"}, "keys": {"k": meta("collection-element-identity")}, "fields": {"at": meta("collection-position"), "v": {"path": ["v"], "type": "int"}, "up": meta("recursive-parent-element-identity")}}
+    own = mapping.relation(docs, "body", how, ["d"])
+    assert own.completeness == "exact" and sorted(map(tuple, own.df.collect())) == [(1, '["1","0"]', 0, 1, None), (1, '["1","1"]', 1, 2, None)]
+    tree = {"collection": {"kind": "recursive-array", "path": ["t"], "absent": "empty", "descendants": ["kids"]}, "keys": {"id": {"path": ["id"]}}, "fields": {"me": meta("collection-element-identity"), "up": meta("recursive-parent-element-identity")}}
+    assert sorted(map(tuple, mapping.project(docs, "body", tree, ["d"])[0].collect())) == [(1, "p", '["1","0"]', None), (1, "q", '["1","1"]', '["1","0"]'), (1, "r", '["1","2"]', None)]
+    assert mapping.relation(docs, "body", how | {"collection": how["collection"] | {"absent": "invalid"}}, ["d"]).completeness == "unknown"
+    with pytest.raises(ValueError):
+        mapping.project(docs, "body", {"collection": {"kind": "singleton", "path": ["l"], "absent": "creatable"}, "keys": {}, "fields": {}}, ["d"])
+
+
+def test_lossy_cases_are_warned_of(spark):
+    steps = [{"kind": "lens.value-map", "from": "s", "to": "state", "cases": [{"from": "o", "to": "open", "writeBack": "to-from"}, {"from": "p", "to": "open", "writeBack": "reject"}, {"from": "x", "to": "shut", "writeBack": "reject"}]}]
+    rows = spark.createDataFrame([("o",), ("p",), ("p",), (None,)], "s string")
+    assert list(map(tuple, lens.lossy(rows, steps).collect())) == [("state", "open", 2)]
+    assert lens.lossy(rows, []).count() == 0
+
+
+def _part(spark, name, rows, authority="", links=()):
+    closed = []
+    own = {"item": RelationInput(spark.createDataFrame(rows, "id int, v int"), ("id",)), "link": RelationInput(spark.createDataFrame(list(links), "target string, expectation string"), ("target",))}
+    return Source(name, own, authority, lambda: closed.append(name)), closed
+
+
+COUNT = n.pipe(n.scan("item"), n.aggregate("a", {}, n=n.measure("count")))
+
+
+def test_sessions_follow_members(spark):
+    (a, shut_a), (b, shut_b) = _part(spark, "a", [(1, 1), (2, 2)]), _part(spark, "b", [(1, 5)], authority="other")
+    s, heard = QuerySession(spark, COUNT, [Member("a", a), Member("b", None)]), []
+    assert s.completeness == "unknown" and s.rows is None and s.issues[0] == "dataset.member_unresolved: b"
+    s.subscribe(lambda e: heard.append(e[0]))
+    s.resolve("b", b)
+    assert s.completeness == "unknown"  # it may not be read
+    s.detach("b")
+    assert shut_b == ["b"] and s.rows.first().n == 2 and s.session is not None
+    none = a.relations["item"].df.limit(0)
+    assert s.update("a", {"item": Change(none, spark.createDataFrame([(3, 3)], "id int, v int"))}, 0) == 1
+    assert s.rows.first().n == 3 and s.session.counts["fallback"] == 0 and heard == ["reset"] * 3 + ["diff"]
+    with pytest.raises(StaleBasis):
+        s.update("a", {}, 0)
+    with pytest.raises(ChangeError):
+        s.update("a", {"item": Change(none, spark.createDataFrame([(3, 3)], "id int, v int"))}, 1)
+    assert heard[-1] == "invalidation" and s.members["a"].basis == 1 and s.rows.first().n == 3
+    s.attach(Member("c", _part(spark, "c", [(1, 1)])[0], "optional"))
+    assert s.rows.first().n == 4 and s.completeness == "exact"
+    s.update("c", {"item": Change(none, spark.createDataFrame([(9, 9)], "id int, v int"))}, 0)
+    assert s.rows.first().n == 5
+    s.close()
+    assert shut_a == ["a"]
+    with pytest.raises(ValueError):
+        s.detach("a")
+
+
+def test_sessions_of_part_of_the_members(spark):
+    a, _ = _part(spark, "a", [(1, 1), (2, 2)])
+    keep = n.pipe(n.scan("item"), n.where(n.compare("gt", f("item", "v"), lit(1))))
+    s = QuerySession(spark, keep, [Member("a", a), Member("b")], partial=True)
+    assert s.completeness == "lower-bound" and s.rows.count() == 1
+    assert QuerySession(spark, COUNT, [Member("a", a), Member("b")], partial=True).completeness == "unknown"
+    assert QuerySession(spark, COUNT, [Member("a", a), Member("b", None, "optional")]).rows.first().n == 2
+    assert QuerySession(spark, COUNT, []).completeness == "unknown"
+    with pytest.raises(ValueError):
+        QuerySession(spark, COUNT, [Member("a", a), Member("a")])
+
+
+def test_sessions_follow_links(spark):
+    made, shut = {}, []
+    links = {"b": [("c", None), ("a", None)], "c": [("b", None), ("x", "optional")]}
+
+    def opened(name):
+        if name == "x":
+            return None
+        made[name], own = _part(spark, name, [(1, 1)], links=links[name])
+        shut.append(own)
+        return made[name]
+
+    a, _ = _part(spark, "a", [(1, 1)], links=[("b", None)])
+    s = QuerySession(spark, COUNT, [Member("a", a)], links=n.scan("link"), open_source=opened)
+    assert sorted(s.members) == ["a", "b", "c", "x"] and s.settled and s.rows.first().n == 3 and s.members["x"].expectation == "optional"
+    link = a.relations["link"].df
+    s.update("a", {"link": Change(link, link.limit(0))}, 0)
+    assert sorted(s.members) == ["a"] and sorted(sum(shut, [])) == ["b", "c"] and s.rows.first().n == 1
+    with pytest.raises(ValueError, match="budget"):
+        QuerySession(spark, COUNT, [Member("a", a)], links=n.scan("link"), open_source=opened, most=1)
+
+
 def test_system_relations_and_discovery(spark):
-    own = system.system_relations(spark, {"t": [RelationInput(spark.range(1), source="s")]}, {("fn", "1"): None}, [("code", "d")])
+    own = system.system_relations(spark, {"t": [RelationInput(spark.range(1), source="s")]}, {("fn", "1"): None}, [("code", "d")], repairs=[("c", "1")])
+    assert tuple(own["system.repair_candidates"][0].df.first()) == ("c", "1")
     assert len(own) == 10 and own["system.schemas"][0].df.first().relationId == "t" and own["system.sources"][0].df.count() == 1
     links = {"a": ["b", "c"], "b": ["a"], "c": ["d"], "d": []}
     found, edges = system.discover(["a"], lambda s: spark.createDataFrame([(x,) for x in links[s]], "to string"))
