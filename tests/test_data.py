@@ -13,7 +13,7 @@ from lattisca.plans.prepare import fits, prepare
 from lattisca.sources import lens, mapping, schema, system
 from lattisca.sources.relations import RelationInput
 from lattisca.streaming.maintenance import Change, ChangeError, Pool, Session, StaleBasis, bag_minus, change_between, keyed, snapshot_diff
-from lattisca.streaming.observer import Observer
+from lattisca.streaming.observer import Observer, restored
 from lattisca.streaming.session import Member, QuerySession, Source
 
 f, lit = n.field, n.literal
@@ -172,6 +172,28 @@ def test_observer_follows_a_stream(spark, tmp_path):
     assert not observer.subscribers
 
 
+def test_followed_relations_outlive_the_driver(spark, tmp_path):
+    path, log, check = (str(tmp_path / p) for p in ("in", "log", "ck"))
+    count = n.pipe(n.scan("item"), n.aggregate("a", {}, n=n.measure("count"), top=n.measure("maximum", f("item", "score"))))
+    base = RelationInput(spark.createDataFrame([(1, 1, 5), (2, 1, 6)], ITEM), ("id",))
+    assert restored(spark, log, base) == (base, 0)
+
+    def go(own, basis, rows):
+        spark.createDataFrame(rows, ITEM + ", off boolean").write.mode("append").parquet(path)
+        o = Observer(Session(spark, count, {"item": [own]}, basis))
+        o.follow(spark.readStream.schema(ITEM + ", off boolean").parquet(path), "item", check, "off", log).awaitTermination()
+        return tuple(o.snapshot().first()), o.session.basis
+
+    assert go(base, 0, [(1, 1, 5, True), (1, 1, 9, False), (3, 1, 1, None)]) == ((3, 9), 1)
+    again, basis = restored(spark, log, base)
+    assert basis == 1 and sorted(map(tuple, again.df.collect())) == [(1, 1, 9), (2, 1, 6), (3, 1, 1)]
+    assert go(again, basis, [(1, 1, 9, True)]) == ((2, 6), 2)
+    bag, basis = restored(spark, log, RelationInput(base.df))
+    assert basis == 2 and sorted(map(tuple, bag.df.collect())) == [(2, 1, 6), (3, 1, 1)]
+    with pytest.raises(Exception, match="the session at 0"):
+        go(base, 0, [(7, 1, 1, False)])
+
+
 def test_mappings(spark):
     docs = spark.createDataFrame([(1, '{"m": {"b": {"id": "b", "v": 1}, "a": {"id": "zz", "v": 2}}, "one": {"v": 3}}'), (2, "{}")], "d int, body string")
     c = lambda kind, path, **k: {"kind": kind, "path": path, "absent": "empty"} | k
