@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattisca.llm.common import spool
+
 K = 20
 #: Queries of a broadcast block; rows that a task codes at once; standard deviations that the error bound spans; bit planes of a query; bits of a code, at least.
 BLOCK, ROWS, SPREAD, PLANES, BITS = 8192, 65536, 4.5, 5, 256
@@ -129,6 +131,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK,
     candidates, and fewer candidates give fewer rows. Only vectors of the query's length are compared. Rows that usable()
     leaves out take no part; repeated query rows count once, repeated candidate rows each. Other columns aren't read.
     With no queries or rows the result is empty.
+
+    Queries go in blocks of about ``block``, one after another: each is read to the driver, sent out, answered by a pass over the
+    rows and, where there are several, written to the shared folder before the next, so only one is held at a time.
     """
     spark = rows.sparkSession
     rows, queries = usable(rows), usable(queries)
@@ -171,12 +176,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK,
                 for i, (scores, own) in sorted(best[d].items()):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), q_ids[i])), pa.array(own), pa.array(scores)], schema=schema)
 
-        parts.append(rows.mapInArrow(found, "query_id bigint, vec_id bigint, score double"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        own = rows.mapInArrow(found, "query_id bigint, vec_id bigint, score double").withColumn("rank", rank).filter(F.col("rank") <= k)
+        own = own.select("query_id", "rank", "vec_id", "score")
+        if n > 1:
+            own = spool(own, "nearest")
+            held.destroy()
+        parts.append(own)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out
 
 
 def search_table(rows: DataFrame, every: int = 20, k: int = K) -> DataFrame:

@@ -446,6 +446,9 @@ def test_nearest(spark):
             assert [(i, n) for n, i, _ in sorted(got[q])] == [(i, k + 1) for k, (_, i) in enumerate(want)]
             assert np.allclose([s for _, _, s in sorted(got[q])], [-s for s, _ in want])
     assert ann.search_table(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+    table = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")
+    whole, cut = (sorted(map(tuple, ann.nearest(table, table.filter("vec_id % 20 = 0"), block=size).collect())) for size in (ann.BLOCK, 3))
+    assert whole == cut and len(whole) == sum(map(len, got.values()))
 
 
 # 9
