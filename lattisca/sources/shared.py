@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +35,19 @@ def spool(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@dataclass(frozen=True)
 class Held:
     """Rows computed once. table: the rows themselves, if there are at most SMALL; otherwise df reads them from the shared folder."""
 
-    df: DataFrame
-    table: pa.Table | None
+    def __init__(self, df: DataFrame | None, table: pa.Table | None, make: Callable[[], DataFrame] | None = None):
+        self.table = table
+        if make is None:
+            self.df = df
+        else:
+            self._make = make
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self._make()
 
     @property
     def empty(self) -> bool:
@@ -47,9 +55,9 @@ class Held:
 
 
 def local(spark: SparkSession, table: pa.Table, like: DataFrame) -> Held:
-    """Rows on the driver with the schema of like; plans over them fold at planning, without a job."""
+    """Rows on the driver with the schema of like; plans over them fold at planning, without a job. The DataFrame is made when it is asked for."""
     table = table.combine_chunks()  # an empty first chunk would hide the others
-    return Held(spark.createDataFrame(table, schema=like.schema), table)
+    return Held(None, table, lambda: spark.createDataFrame(table, schema=like.schema))
 
 
 def hold(df: DataFrame, tag: str) -> Held:

@@ -509,7 +509,9 @@ class _Step:
         key = plan_id(node)
         stored, like = self.graph.groups[key]
         by, graph = stored.key, self.graph
-        sides = [None if f is None else graph.grouped(self.engine(True), node, f) for f in self.delta(node["input"])]
+        near = all(h.table is not None for c in self.changes.values() for h in c) and not _has_subquery(node["input"]) and _down(node["input"], LOCAL)["kind"] == "from"
+        own = lambda f: replace(f, df=f.df.coalesce(1)) if near else f  # noqa: E731 (few rows of the driver need no exchange)
+        sides = [None if f is None else graph.grouped(self.engine(True), node, own(f)) for f in self.delta(node["input"])]
         if all(f is None for f in sides):
             self.groups[key] = stored, like
             return None, None
@@ -529,7 +531,8 @@ class _Step:
         ops = [m["op"] for m in node.get("measures", {}).values()]
         lost = sides[0] is not None and (not held.df.filter(name("#side") == 1).isEmpty() if held.table is None else 1 in held.table["#side"].to_pylist())
         counts = node["kind"] == "aggregate" and all(o == "count" for o in ops)
-        if lost and not counts or not set(ops) <= FOLDED:
+        few = held.table if old.table is not None else None
+        if lost and not counts and not (few is not None and _extremes_stay(node, few, by)) or not set(ops) <= FOLDED:
             self._count("selective", "groups read anew")
             engine = self.engine(True)
             frame = engine.lower(node["input"], True)
@@ -544,7 +547,7 @@ class _Step:
             now = hold(graph.grouped(engine, node, frame).df.select(*wanted), "groups")
         else:
             self._count("selective", "groups folded")
-            now = hold(self._folded(node, held.df, by, like), "groups")
+            now = hold(self._folded(node, held.df if few is None else held.df.coalesce(1), by, like), "groups")
         rows, whole = "#rows" if node["kind"] == "distinct" else f"{node['alias']}/#rows", node["kind"] == "aggregate" and not node["groupBy"]
         if now.table is not None:
             tables = old, now if whole else local(self.spark, now.table.filter(pc.greater(now.table[rows], 0)), like.df)
@@ -570,17 +573,17 @@ class _Step:
                 out |= {parts_of[0]: F.sum(name(parts_of[0])), parts_of[1]: total(parts_of[1])}
                 out[c] = F.try_divide(F.sum(name(parts_of[0])), F.sum(name(parts_of[1])))
             elif m["op"] == "maximum":
-                out[c] = F.max(v)
+                out[c] = F.max(F.when(side != 1, v))
             elif m["op"] == "minimum":
                 nulls = f"{alias}/#nulls:{f}"
                 out[nulls] = total(nulls)
-                out[c] = F.when(F.sum(name(nulls)) == 0, F.min(v))
+                out[c] = F.when(F.sum(name(nulls) * sign) == 0, F.min(F.when(side != 1, v)))
             else:
                 wins = F.coalesce(F.bool_or(v if m["op"] == "any" else ~v), F.lit(False))
                 out[c] = F.when(wins, F.lit(m["op"] == "any")).when(F.count(F.lit(1)) == F.count(v), F.lit(m["op"] == "every"))
                 out[c + "?unknown"] = out[c].isNull()
         rest = [c for c in like.df.columns if c not in by and c not in out]
-        out |= {c: F.min(name(c)) for c in rest}
+        out |= {c: F.min(F.when(side != 1, name(c))) for c in rest}
         rows = parts.groupBy(*map(name, by)).agg(*[v.alias(c) for c, v in out.items()])
         return rows.select(*[name(c).cast(like.df.schema[c].dataType).alias(c) for c in like.df.columns])
 
@@ -614,6 +617,33 @@ class _Step:
         return self._lower(node, {id(node["input"]): before}, False), self._lower(node, {id(node["input"]): after}, True)
 
 
+def _extremes_stay(node: dict, parts: pa.Table, by: list[str]) -> bool:
+    """Whether groups that lose rows (parts as in _folded()) can do so without reading the others: what leaves is no maximum, no minimum and,
+    of a distinct, not the row that the result is known by; or it is all that the group has."""
+    if node["kind"] == "distinct":
+        watched = {c: 1 for c in parts.column_names if c.startswith("#id/")}
+        rows = "#rows"
+    else:
+        watched = {f"{node['alias']}/{f}": -1 if m["op"] == "maximum" else 1 for f, m in node["measures"].items() if m["op"] != "count"}
+        rows = f"{node['alias']}/#rows"
+        if any(m["op"] not in ("count", "maximum", "minimum") for m in node["measures"].values()):
+            return False
+    if len(watched) > 1 and node["kind"] == "distinct":
+        return False
+    kinds = [parts.schema.field(c).type for c in watched]
+    if not all(pa.types.is_integer(t) or pa.types.is_string(t) or pa.types.is_large_string(t) or pa.types.is_date(t) or pa.types.is_decimal(t) for t in kinds):
+        return False
+    groups: dict[str, list[dict]] = {}
+    for key, r in zip(_tuples(parts, by) if by else [""] * parts.num_rows, parts.select([*watched, rows, "#side"]).to_pylist()):
+        groups.setdefault(key, [{}, {}, {}])[r["#side"]] = r
+    for old, gone, new in groups.values():
+        if not gone or by and old and not new and old[rows] == gone[rows]:
+            continue
+        if not old or any(old[c] is None or gone[c] is None or not (gone[c] > old[c] if way > 0 else gone[c] < old[c]) for c, way in watched.items()):
+            return False
+    return True
+
+
 def _sides(spark: SparkSession, both: Held, like: DataFrame) -> tuple[Held, Held]:
     """Rows by their mark ``#side``: false, true."""
     if both.table is None:

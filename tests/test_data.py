@@ -38,6 +38,8 @@ def _plans():
         "kleene": n.pipe(i, n.aggregate("a", {"g": f("item", "g")}, any=n.measure("any", n.compare("gt", f("item", "score"), lit(5))), every=n.measure("every", n.compare("gt", f("item", "score"), f("item", "g"))), low=n.measure("minimum", f("item", "g")))),
         "aggregate": n.pipe(i, n.aggregate("a", {"g": f("item", "g")}, n=n.measure("count"), low=n.measure("minimum", f("item", "score")), first=n.measure("first", f("item", "score"), [n.by(f("item", "id"))]))),
         "total": n.pipe(i, n.aggregate("a", {}, n=n.measure("count"), s=n.measure("sum", f("item", "score")))),
+        "extremes": n.pipe(i, n.aggregate("a", {"g": f("item", "g")}, n=n.measure("count"), low=n.measure("minimum", f("item", "score")), high=n.measure("maximum", f("item", "score")))),
+        "extremes_all": n.pipe(i, n.aggregate("a", {}, n=n.measure("count"), low=n.measure("minimum", f("item", "score")), high=n.measure("maximum", f("item", "score")))),
         "distinct": n.pipe(i, n.select("r", g=f("item", "g")), n.distinct()),
         "window": n.pipe(i, n.window("item", nth=n.over("row-number", [n.by(f("item", "score")), n.by(f("item", "id"))], [f("item", "g")])), n.select("r", id=f("item", "id"), nth=f("item", "nth"))),
         "union": n.pipe(n.pipe(i, n.select("r", g=f("item", "g"))), n.combine("union-all", n.pipe(g, n.select("r", g=f("grp", "g"))))),
@@ -87,6 +89,21 @@ def test_added_rows_alone_are_folded(spark, name):
     assert not session.counts["fallback"] and (name not in ("kleene", "join_aggregate", "total", "distinct") or session.reasons["groups folded"] and not session.reasons["groups read anew"])
 
 
+@pytest.mark.parametrize("name", ["extremes", "extremes_all", "distinct"])
+def test_removed_rows_are_folded_where_extremes_stay(spark, name):
+    rng, plan = random.Random(name), _plans()[name]
+    items = [(k, k % 2, s) for k, s in enumerate((5, 4, 1, 9, 9, 3, 5, None))]
+    given = lambda rows: {"item": [RelationInput(spark.createDataFrame(rows, ITEM), ("id",))]}
+    session, keys = Session(spark, plan, given(items), keys=True), rng.sample(range(len(items)), len(items))
+    for basis, k in enumerate(keys):
+        gone, items = [r for r in items if r[0] == k], [r for r in items if r[0] != k]
+        new = [(50, 0, 6)] if basis == 2 else []
+        items += new
+        session.update({"item": Change(spark.createDataFrame(gone, ITEM), spark.createDataFrame(new, ITEM))}, basis, basis + 1)
+        assert sorted(map(str, session.rows.collect())) == sorted(map(str, Session(spark, plan, given(items), keys=True).rows.collect())), basis
+    assert session.reasons["groups folded"] and session.reasons["groups read anew"]
+
+
 def test_changes_must_fit_their_relation(spark):
     make = lambda: {"item": [RelationInput(spark.createDataFrame([(1, 1, 1), (2, 1, 1)], ITEM), ("id",))]}
     rows = lambda *r: spark.createDataFrame(list(r), ITEM)
