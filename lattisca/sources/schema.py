@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAFE = 2**53 - 1
-#: Patterns of canonical texts: decimals without needless zeros, instants of nine digits in UTC, unpadded base64url.
+#: Fixed values, the patterns of canonical texts: decimals without needless zeros, instants of nine digits in UTC, unpadded base64url.
 DECIMAL = r"^(0|-?([1-9][0-9]*|(0|[1-9][0-9]*)\.[0-9]*[1-9]))$"
 INSTANT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{9}Z$"
 BYTES = r"^[A-Za-z0-9_-]*$"

@@ -239,14 +239,18 @@ def test_lenses(spark):
 
 
 def test_schemas(spark):
-    s = {"relations": {"base": {"relationId": "b", "key": ["name"], "fields": {"name": {"type": {"kind": "string", "values": ["thin", "pan"]}}, "n": {"type": {"kind": "integer"}, "nullable": True}, "d": {"type": {"kind": "decimal"}, "optional": True}}}, "pizza": {"relationId": "p", "key": ["name"], "fields": {"name": {"type": {"kind": "string"}}, "base": {"type": {"kind": "ref", "target": {"relationId": "b"}}}}}}}
-    assert schema.check_schema(s) == [] and schema.struct_of(s["relations"]["pizza"], s).simpleString() == "struct<name:string,base:array<string>>"
-    rows = spark.createDataFrame([("thin", 1, "1.5"), ("round", 1, None), (None, 2, None), ("pan", 2**53, "1"), ("pan", None, "01")], "name string, n bigint, d string").withColumn("extra", F.lit(1))
-    good, bad = schema.parse_rows(rows, s["relations"]["base"])
-    assert [tuple(r) for r in good.collect()] == [("thin", 1, "1.5")] and bad.count() == 4
-    s["relations"]["pizza"]["fields"]["base"]["type"]["target"]["relationId"] = "none"
-    s["relations"]["base"]["key"] = []
-    assert schema.check_schema(s) == ["base: key_invalid", "pizza.base: ref_target_missing"]
+    kind = lambda k, **more: {"type": {"kind": k} | more}
+    customer = {"relationId": "c", "key": ["custkey"], "fields": {"custkey": kind("integer"), "segment": kind("string", values=["BUILDING", "MACHINERY"]), "balance": kind("decimal") | {"nullable": True}, "since": kind("instant") | {"optional": True}}}
+    orders = {"relationId": "o", "key": ["orderkey"], "fields": {"orderkey": kind("integer"), "customer": kind("ref", target={"relationId": "c"})}}
+    declared = {"relations": {"customer": customer, "orders": orders}}
+    assert schema.check_schema(declared) == []
+    assert schema.struct_of(orders, declared).simpleString() == "struct<orderkey:bigint,customer:array<bigint>>"
+    at = "1996-02-29T00:00:00.000000000Z"
+    rows = [(1, "BUILDING", "-0.5", at), (2, "MACHINERY", None, None), (3, "AUTOMOBILE", "1", at), (None, "BUILDING", "1", at), (4, "BUILDING", "1.50", at), (5, "BUILDING", "-0", at), (2**53, "BUILDING", "1", at), (6, None, "1", at), (7, "BUILDING", "1", at[:-1])]
+    good, bad = schema.parse_rows(spark.createDataFrame(rows, "custkey bigint, segment string, balance string, since string"), customer)
+    assert sorted(r.custkey for r in good.collect()) == [1, 2] and bad.count() == 7
+    customer["key"], orders["fields"]["customer"]["type"]["target"] = [], {"relationId": "gone"}
+    assert sorted(schema.check_schema(declared)) == ["customer: key_invalid", "orders.customer: ref_target_missing"]
 
 
 def _store(spark):
