@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lattisca.sources.shared import shared_dir, spool
 
-__all__ = ["fresh", "hash128", "let", "returns_memory", "shared_dir", "slices", "spool", "table"]
+__all__ = ["each_returns_memory", "fresh", "hash128", "let", "returns_memory", "shared_dir", "slices", "spool", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,15 @@ def let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
+def give_back() -> None:
+    """Memory that is free goes back to the system; malloc would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def returns_memory(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task function that gives memory back to the system when it ends: Python workers outlive tasks, and several idle ones share an executor with the next stage's."""
 
@@ -50,15 +59,24 @@ def returns_memory(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator],
     def run(batches):
         yield from task(batches)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not glibc
-            pass
+        give_back()
 
     return run
 
 
+def each_returns_memory(group: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """A function of one group of rows, or of two that meet, that gives memory back to the system after each."""
+
+    def run(*parts: pa.Table) -> pa.Table:
+        out = group(*parts)
+        give_back()
+        return out
+
+    if group.__code__.co_argcount == 1:  # Spark counts the arguments
+        return lambda part: run(part)
+    return lambda own, got: run(own, got)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about ``size`` bytes together, so that a task's memory doesn't depend on how long texts are; a longer text is a run of its own."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.cast(pc.binary_length(batch.column(column)), pa.int64()), 0)) + 64)

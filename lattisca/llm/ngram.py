@@ -19,11 +19,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattisca.llm import exchange as x
-from lattisca.llm.common import spool
+from lattisca.llm.common import each_returns_memory, returns_memory, spool
 
 #: Of the crc32 of the id, modulo 7: texts that are scored unseen, and training texts held out for the weights.
 MOD, UNSEEN, DELETED = 7, 2, 6
@@ -45,14 +46,19 @@ def level(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1, 0), LEVELS - 1)
 
 
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """XXH64 of each word. It costs less than looking the word up among those seen, and holds nothing."""
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), dtype=">u8").astype(np.uint64)
+
+
 class Tokens:
     """Keys of the tokens of documents: words, then one end, each with what stands before it."""
 
-    def __init__(self, docs: x.Docs, known: x.Words):
+    def __init__(self, docs: x.Docs):
         own, self.sizes = [np.zeros(0, dtype=np.uint64)], []
         for _, text in docs:
             words = text.translate(_LOWER).split() if text else []
-            own.append(np.append(known.of(words), _END))
+            own.append(np.append(_hashed(words), _END))
             self.sizes.append(len(words) + 1)
         self.words = np.concatenate(own)
         self.sizes = np.array(self.sizes, dtype=np.int64)
@@ -108,59 +114,69 @@ def score_texts(docs: DataFrame, chunk: int = x.CHUNK, bucket: int = x.BUCKET) -
     packed = x.chunks(docs, apart=lambda i: part_of(i) == DELETED, size=chunk, level=6)
     buckets = x.buckets_for(packed, bucket)
 
+    def sent(main: x.Docs, other: x.Docs) -> list[list[bytes]]:
+        """Keys and counts of a chunk, packed for each bucket; none for buckets without a key. One order after another, so that one is held unpacked."""
+        a, b = Tokens(main), Tokens(other)
+        trains = np.array([part_of(i) != UNSEEN for i, _ in main], dtype=float)
+        weight = np.repeat(trains, a.sizes)
+        out, some = [[] for _ in range(buckets)], np.zeros(buckets, dtype=bool)
+        for keys, weights, others in (
+            (lambda: (a.singles(), b.singles()), lambda: np.concatenate([weight, trains]), len(b.words) + len(b.sizes)),
+            (lambda: (a.pairs, b.pairs), lambda: weight, len(b.pairs)),
+            (lambda: (a.triples, b.triples), lambda: weight[a.later], len(b.triples)),
+        ):
+            distinct, at = np.unique(np.concatenate(keys()), return_inverse=True)
+            kept = _total(distinct, weights(), at[: len(at) - others])
+            gone = np.bincount(at[len(at) - others :], minlength=len(distinct))
+            del at
+            cut = x.edges(distinct, buckets)
+            some |= cut[1:] > cut[:-1]
+            for k in range(buckets):
+                s = slice(cut[k], cut[k + 1])
+                out[k] += [x.pack_sorted(distinct[s]), x.pack(kept[s]), x.pack(gone[s])]
+        return [own if there else [] for own, there in zip(out, some)]
+
+    @returns_memory
     def ask(batches):
-        known = x.Words()
-
-        def sent():
+        def asked_of():
             for batch in batches:
                 for number, main, other in zip(batch.column("chunk").to_pylist(), batch.column("main"), batch.column("other")):
-                    main, other = x.thaw(main.as_py()), x.thaw(other.as_py())
-                    a, b = Tokens(main, known), Tokens(other, known)
-                    trains = np.array([part_of(i) != UNSEEN for i, _ in main], dtype=float)
-                    weight = np.repeat(trains, a.sizes)
-                    row = []
-                    for keys, weights, others in (
-                        (np.concatenate([a.singles(), b.singles()]), np.concatenate([weight, trains]), len(b.words) + len(b.sizes)),
-                        (np.concatenate([a.pairs, b.pairs]), weight, len(b.pairs)),
-                        (np.concatenate([a.triples, b.triples]), weight[a.later], len(b.triples)),
-                    ):
-                        distinct, at = np.unique(keys, return_inverse=True)
-                        kept = _total(distinct, weights, at[: len(at) - others])
-                        gone = np.bincount(at[len(at) - others :], minlength=len(distinct))
-                        row.append((distinct, kept, gone, x.edges(distinct, buckets)))
-                    for k in range(buckets):
-                        parts = []
-                        for distinct, kept, gone, cut in row:
-                            s = slice(cut[k], cut[k + 1])
-                            parts += [x.pack_sorted(distinct[s]), x.pack(kept[s]), x.pack(gone[s])]
-                        if any(cut[k + 1] > cut[k] for *_, cut in row):
-                            yield k, number, *parts
-
-        yield from x.rows(["bucket", "chunk", *names], sent(), [pa.int32(), pa.int64(), *[pa.binary()] * 9])
+                    for k, own in enumerate(sent(x.thaw(main.as_py()), x.thaw(other.as_py()))):
+                        if own:
+                            yield k, number, *own
+
+        yield from x.rows(["bucket", "chunk", *names], asked_of(), [pa.int32(), pa.int64(), *[pa.binary()] * 9])
 
     names = [c + n for n in "123" for c in ("keys", "kept", "gone")]
 
     def ints(data: bytes) -> np.ndarray:
         return x.unpack(data).view(np.int64)
 
+    def summed(part: pa.Table, n: str) -> tuple[list[list[bytes]], tuple[int, int, int]]:
+        """For each chunk the packed totals of its keys of an order; of single tokens also how many there are, how many differ, and how many are kept."""
+        keys = [x.unpack_sorted(k.as_py()) for k in part["keys" + n]]
+        ends, keys = np.cumsum([0, *map(len, keys)]), np.concatenate(keys)
+        distinct, at = np.unique(keys, return_inverse=True)
+        del keys
+        kept_all = _total(distinct, np.concatenate([ints(v.as_py()) for v in part["kept" + n]]), at)
+        gone = np.concatenate([ints(v.as_py()) for v in part["gone" + n]])
+        both, there = kept_all + _total(distinct, gone, at), gone > 0
+        del gone
+        real = distinct != _BEGIN
+        counted = int(both[real].sum()), int((both[real] > 0).sum()), int(kept_all[real].sum())
+        del distinct
+        return [[x.pack(both[at[i:j]]), x.pack(kept_all[at[i:j][there[i:j]]])] for i, j in zip(ends[:-1], ends[1:])], counted
+
+    @each_returns_memory
     def add(part: pa.Table) -> pa.Table:
-        bucket, asked = part["bucket"][0].as_py(), part["chunk"].to_pylist()
-        answers = [[c, bucket, 0, 0, 0] for c in asked]
+        bucket = part["bucket"][0].as_py()
+        answers = [[c, bucket, 0, 0, 0] for c in part["chunk"].to_pylist()]
         total = [-1, bucket]
         for n in "123":
-            keys = [x.unpack_sorted(k.as_py()) for k in part["keys" + n]]
-            kept, gone = ([ints(v.as_py()) for v in part[c + n]] for c in ("kept", "gone"))
-            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-            kept_all, gone_all = _total(distinct, np.concatenate(kept), at), _total(distinct, np.concatenate(gone), at)
-            both = kept_all + gone_all
-            if n == "1":
-                real = both[distinct != _BEGIN]
-                total += [int(real.sum()), int((real > 0).sum()), int(kept_all[distinct != _BEGIN].sum())]
-            base = 0
-            for answer, k, g in zip(answers, keys, gone):
-                own = at[base : base + len(k)]
-                base += len(k)
-                answer += [x.pack(both[own]), x.pack(kept_all[own[g > 0]])]
+            found, counted = summed(part, n)
+            total += counted if n == "1" else []
+            for answer, own in zip(answers, found):
+                answer += own
         return x.table(list(answer_columns), [tuple(a) for a in [*answers, [*total, *[b""] * 6]]], [pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 6])
 
     answer_columns = {"chunk": "bigint", "bucket": "int", "tokens": "bigint", "types": "bigint", "tokens_kept": "bigint"} | {c + n: "binary" for n in "123" for c in ("all", "kept")}
@@ -204,7 +220,7 @@ def score_texts(docs: DataFrame, chunk: int = x.CHUNK, bucket: int = x.BUCKET) -
         def cells_of(own: pa.Table, got: pa.Table) -> pa.Table:
             cells = np.zeros((0, 5), dtype=np.int64)
             if own.num_rows and (docs_ := x.thaw(own["other"][0].as_py())):
-                count = looked_up(Tokens(docs_, x.Words()), got, "kept")
+                count = looked_up(Tokens(docs_), got, "kept")
                 three, two, one = shares(count, n_kept)
                 even = np.full(len(one), EVEN)
                 if lower is None:
@@ -215,7 +231,7 @@ def score_texts(docs: DataFrame, chunk: int = x.CHUNK, bucket: int = x.BUCKET) -
                 cells = np.column_stack([distinct, n])
             return pa.table({c: pa.array(cells[:, k]) for k, c in enumerate(("level", "high", "low", "even", "n"))})
 
-        return cells_of
+        return each_returns_memory(cells_of)
 
     def learned(lower: np.ndarray | None, columns: list[str], start: list[float]) -> np.ndarray:
         source = packed.select("chunk", "other").groupBy("chunk").cogroup(answers.select("chunk", "bucket", "kept1", "kept2", "kept3").filter("chunk >= 0").groupBy("chunk"))
@@ -225,12 +241,13 @@ def score_texts(docs: DataFrame, chunk: int = x.CHUNK, bucket: int = x.BUCKET) -
     lower = learned(None, ["level", "high", "low", "even"], [0.4, 0.5, 0.1])
     upper = learned(lower, ["level", "high", "low"], [0.4, 0.6])
 
+    @each_returns_memory
     def scored(own: pa.Table, got: pa.Table) -> pa.Table:
         out = []
         if own.num_rows:
             main, other = x.thaw(own["main"][0].as_py()), x.thaw(own["other"][0].as_py())
             both = main + other
-            t = Tokens(both, x.Words())
+            t = Tokens(both)
             count = looked_up(t, got, "all")
             three, two, one = shares(count, n_all)
             single, lam = count[4], upper[level(count[1])]

@@ -539,6 +539,23 @@ def test_language_model_scores(spark):
     assert np.mean([got[i] for i in twice]) > np.mean([got[i] for i in once])
 
 
+def _worker_mb():
+    """Of each Python worker of the session, the memory it holds now."""
+    psutil = pytest.importorskip("psutil")
+    held = [re.findall(r"\nPss_Anon:\s+(\d+)", open(f"/proc/{p.pid}/smaps_rollup").read()) for p in psutil.Process().children(recursive=True) if "pyspark.daemon" in " ".join(p.cmdline())]
+    return [int(mb) / 1024 for own in held for mb in own]
+
+
+def test_language_model_leaves_workers_small(spark):
+    # Idle workers share an executor's memory with those of the next stage: after chunks of 6 MB they kept all that they had ever held.
+    rng = np.random.default_rng(3)
+    texts = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 300_000, 40_000))) for i in range(48)], "doc_id bigint, text string").coalesce(1)
+    before = max(_worker_mb(), default=0)
+    assert ngram.score_texts(texts).count() == 48
+    after = max(_worker_mb())
+    assert after < max(before, 80) + 50, after
+
+
 # 10
 
 
