@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from itertools import chain
+from array import array
 from operator import itemgetter
 
 import numpy as np
@@ -66,17 +66,22 @@ def n_best(size: int, edges: list[list[tuple[int, float, int]]], n: int) -> list
 _IDS, _SCORE, _GAP = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
+def _unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, dtype=np.int32).tolist()
+
+
 class Chunks(dict):
-    """The best segmentation of each chunk, and the n best of those asked for, remembered up to a bound."""
+    """The best segmentation of each chunk, as (ids packed as 32-bit integers, score, what the second best loses), and the n best of those asked for, remembered up to a bound."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary, self.ways = vocabulary, {}
 
-    def __missing__(self, chunk: str) -> tuple[list[int], float, float]:
+    def __missing__(self, chunk: str) -> tuple[bytes, float, float]:
         if len(self) > CACHE:
             self.clear()
-        self[chunk] = found = self.vocabulary.two_best(chunk)
+        ids, score, gap = self.vocabulary.two_best(chunk)
+        self[chunk] = found = array("i", ids).tobytes(), score, gap
         return found
 
     def n_best(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
@@ -102,6 +107,7 @@ class Vocabulary:
         self.unknown = min((s for _, s in pieces if s > -1e8), default=0.0) - UNKNOWN
         self.byte_ids = byte_ids
         self.text = {i: p.replace(SPACE, " ") for (p, _), i in zip(pieces, ids)}
+        self.whole = self.text | {i: chr(b) for b, i in enumerate(byte_ids[:128])}  # ids that are text on their own: pieces, and bytes of ASCII
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
         self.cut = next(re.compile(c) for c, forbid in _CUTS if not any(re.search(forbid, p, re.S) for p, _ in pieces))
 
@@ -132,30 +138,31 @@ class Vocabulary:
     def two_best(self, chunk: str) -> tuple[list[int], float, float]:
         """Ids and score of the best segmentation, and how much less the second best scores (infinity if there is none): one forward pass that keeps two scores a place."""
         mapped = chunk.replace(SPACE, "\0").replace(" ", SPACE)
-        n, first, unknown = len(mapped), self.trie[0], self.unknown
+        n, first, unknown, none = len(mapped), self.trie[0], self.unknown, ({}, None, None)
         best, back = [-np.inf] * (n + 1), [None] * (n + 1)
         second = best[:]
         best[0] = 0.0
-        for i, c in enumerate(mapped):
+        chars = [*mapped, None]  # no piece goes on with None
+        for i in range(n):
             b, b2, k = best[i], second[i], i + 1
-            node = first.get(c)
-            if node is None or node[1] is None:
-                node = [node[0] if node else {}, unknown, -ord(chunk[i]) - 1]
+            more, score, label = first.get(chars[i], none)
+            if score is None:
+                score, label = unknown, -ord(chunk[i]) - 1
             while True:
-                score = node[1]
                 if score is not None:
                     s, was = b + score, best[k]
                     if s > was:
                         s2 = b2 + score
                         second[k] = s2 if s2 > was else was
-                        best[k], back[k] = s, (i, node[2])
+                        best[k], back[k] = s, (i, label)
                     elif s > second[k]:
                         second[k] = s
-                if k == n:
+                if not more:
                     break
-                node = node[0].get(mapped[k])
+                node = more.get(chars[k])
                 if node is None:
                     break
+                more, score, label = node
                 k += 1
         labels, j = [], n
         while j:
@@ -190,19 +197,25 @@ class Vocabulary:
         if not text:
             return [(0.0, [])]
         parts, total, ways = self._search(text, n, Chunks(self) if cache is None else cache)
-        return [(total + lost, [k for i, own in enumerate(parts) for k in at.get(i, own[0])]) for lost, at in ways]
+        return [(total + lost, [k for i, own in enumerate(parts) for k in at.get(i) or _unpacked(own[0])]) for lost, at in ways]
 
     def ranked(self, text: str, n: int, cache: Chunks) -> tuple[list[float], list[int], list[list[tuple[int, int, list[int]]]]]:
         """Scores of the n best segmentations, the ids of the best, and of each other one its edits of these: (start, stop, ids in their place), in order."""
+        scores, ids, edits = self.packed(text, n, cache)
+        return scores, _unpacked(ids), edits
+
+    def packed(self, text: str, n: int, cache: Chunks) -> tuple[list[float], bytes, list[list[tuple[int, int, list[int]]]]]:
+        """As ranked(), with the ids of the best packed as 32-bit integers."""
         if not text:
-            return [0.0], [], []
+            return [0.0], b"", []
         parts, total, ways = self._search(text, n, cache)
         places, before, done = {}, 0, 0
         for at in sorted({at for _, own in ways for at in own}):
-            before += sum(map(len, map(_IDS, parts[done:at])))
+            before += sum(map(len, map(_IDS, parts[done:at]))) // 4
             places[at], done = before, at
-        edits = [[(places[at], places[at] + len(parts[at][0]), ids) for at, ids in sorted(own.items()) if ids != parts[at][0]] for _, own in ways[1:]]
-        return [total + lost for lost, _ in ways], list(chain.from_iterable(map(_IDS, parts))), edits
+        first = {at: _unpacked(parts[at][0]) for at in places}
+        edits = [[(places[at], places[at] + len(first[at]), ids) for at, ids in sorted(own.items()) if ids != first[at]] for _, own in ways[1:]]
+        return [total + lost for lost, _ in ways], b"".join(map(_IDS, parts)), edits
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, exactly as it was encoded."""
@@ -210,7 +223,7 @@ class Vocabulary:
             return ""
         text, byte_of = self.text, self.byte_of
         try:
-            return "".join(map(text.__getitem__, ids))[1:]
+            return "".join(map(self.whole.__getitem__, ids))[1:]
         except KeyError:
             raw = b"".join(bytes([byte_of[i]]) if i in byte_of else text[i].encode() for i in ids)
             return raw.decode("utf-8", "surrogatepass")[1:]
@@ -249,13 +262,13 @@ def encode_table(docs: DataFrame, path: str = MODEL, n: int = N) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 texts = batch.column("text").to_pylist()
-                scores, ids, others = zip(*[(None, None, None) if t is None else v.ranked(t, n, cache) for t in texts])
-                sizes = np.array([0 if i is None else len(i) for i in ids], dtype=np.int64)
-                packed = [None if i is None else np.array(i, dtype="<i4") for i in ids]
+                scores, ids, others = zip(*[(None, None, None) if t is None else v.packed(t, n, cache) for t in texts])
+                packed = [None if i is None else np.frombuffer(i, dtype=np.int32).astype("<i4", copy=False) for i in ids]
+                sizes = np.array([0 if i is None else len(i) for i in packed], dtype=np.int64)
                 flat = np.concatenate([np.zeros(0, dtype="<i4"), *[i for i in packed if i is not None]])
                 digests = [None if i is None else hashlib.sha256(i.tobytes()).hexdigest() for i in packed]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat), mask=pa.array([i is None for i in ids]))
-                back = [None if i is None else v.decode(i) for i in ids]
+                back = [None if i is None else v.decode(i.tolist()) for i in packed]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), lists, pa.array(digests, pa.string()), pa.array(scores, pa.list_(pa.float64())), pa.array([None if o is None else [[dict(zip(("start", "stop", "ids"), e)) for e in way] for way in o] for o in others], others_type), pa.array(back, pa.string())], names=[*batch.schema.names, *names])
 
     return out.mapInArrow(encoded, schema)

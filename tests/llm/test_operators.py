@@ -419,6 +419,21 @@ def test_n_best_is_exact_and_round_trips():
         assert np.allclose(scores, want) and [ids, *[pieces.edited(ids, e) for e in others]] == [i for _, i in found]
 
 
+def test_text_with_ascii_bytes_needs_no_detour():
+    # A line break is no piece of the vocabulary but a byte, and nearly every document has one.
+    v = pieces.Vocabulary.load()
+    cache, texts = pieces.Chunks(v), ["a\nb\n\nc d", "\tx\x00 y\n", "naïve \n ▁ 日本 \U0001f600\n", "", " "]
+    for text in texts:
+        scores, ids, others = v.packed(text, 3, cache)
+        assert (scores, np.frombuffer(ids, dtype=np.int32).tolist(), others) == v.ranked(text, 3, cache)
+        assert v.encode(text, 1, cache)[0][1] == v.ranked(text, 3, cache)[1] and v.decode(v.encode(text, 1, cache)[0][1]) == text
+    assert all(isinstance(ids, bytes) for ids, _, _ in cache.values())
+    plain = [v.encode(t, 1)[0][1] for t in texts[:2]]
+    assert all(any(i in v.byte_of for i in ids) for ids in plain)
+    v.byte_of = {}
+    assert [v.decode(ids) for ids in plain] == texts[:2]
+
+
 def test_encoding_table(spark, docs, rows, none):
     got = pieces.encode_table(docs.withColumn("ids", F.lit(1))).collect()
     assert len(got) == len(rows) and all(r.decoded == r.text and r.n_tokens == len(r.ids or []) for r in got)
