@@ -9,16 +9,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattisca.functions.expressions import QueryError
-from lattisca.sources.shared import Held, hold, local
+from lattisca.sources.shared import SMALL, Held, hold, local, spool
+
+#: Tables of the shared folder that the rows of earlier rounds are read from.
+TABLES = 8
 
 
 def recursive(engine, node: dict, keys: bool, outer):
     """Seed rows, then the rows of each step over the last new ones, until none has a new key.
 
     The first derivation of a key stands, the one with the smallest identity among those of a round; rows without a known
-    key drop out. More rounds or rows than the node allows raise ``query.recursion_budget_exceeded``. The
-    rows of a round are computed once, on the driver where they are few and else in the shared folder, so rounds neither
-    recompute nor pile up lineage.
+    key drop out. More rounds or rows than the node allows raise ``query.recursion_budget_exceeded``; a limit of None
+    allows any number. The rows of a round are computed once, on the driver where they are few and else in the shared
+    folder, so rounds neither recompute nor pile up lineage; the driver never holds more than SMALL rows of earlier rounds.
     """
     label = node["name"]
     from lattisca.plans.engine import Frame, name
@@ -48,9 +51,11 @@ def recursive(engine, node: dict, keys: bool, outer):
 
     new, scope, ids = admitted(engine.lower(node["seed"], True, outer), None)
     rounds, total = 0, _count(new)
-    count, all_rows, new = total, [new], new.df
+    most, longest = node.get("maxRows", 100_000), node.get("maxIterations", 100)
+    count, all_rows, new = total, [(new, total)], new.df
+    first = new
     while count:
-        if total > node.get("maxRows", 100_000) or rounds >= node.get("maxIterations", 100):
+        if most is not None and total > most or longest is not None and rounds >= longest:
             raise QueryError("query.recursion_budget_exceeded", label)
         rounds += 1
         before = engine.frontiers.get(label)
@@ -65,9 +70,9 @@ def recursive(engine, node: dict, keys: bool, outer):
                 raise QueryError("query.recursion_shape", f"{a}.{f}")
         count = _count(found)
         total += count
-        first = all_rows[0].df
         new = found.df.select(*[name(c) if c in found.df.columns else F.lit(False).alias(c) for c in first.columns])
-        all_rows.append(hold(new, "round") if found.table is not None and found.df.columns != first.columns else Held(new, found.table))
+        all_rows.append((hold(new, "round") if found.table is not None and found.df.columns != first.columns else Held(new, found.table), count))
+        all_rows = _packed(engine.spark, all_rows)
     return Frame(_all(engine.spark, all_rows), scope, ids if keys else {})
 
 
@@ -75,11 +80,24 @@ def _count(rows: Held) -> int:
     return rows.df.count() if rows.table is None else rows.table.num_rows
 
 
-def _all(spark, rows: list[Held]):
+def _packed(spark, rows: list[tuple[Held, int]]) -> list[tuple[Held, int]]:
+    """rows, counted, in few tables: those on the driver in the shared folder once they are more than SMALL, and the smaller half of more than TABLES tables as one."""
+    here, there = [r for r in rows if r[0].table is not None], [r for r in rows if r[0].table is None]
+    n = sum(k for _, k in here)
+    if n > SMALL:
+        here, there = [], [*there, (Held(spool(_all(spark, here), "rounds"), None), n)]
+    if len(there) > TABLES:
+        there.sort(key=lambda r: r[1])
+        half, there = there[: TABLES // 2 + 1], there[TABLES // 2 + 1 :]
+        there.append((Held(spool(_all(spark, half), "rounds"), None), sum(k for _, k in half)))
+    return here + there
+
+
+def _all(spark, rows: list[tuple[Held, int]]):
     """Rows of all rounds: those on the driver as one table."""
-    few = [h.table for h in rows if h.table is not None]
-    out = local(spark, pa.concat_tables([t.cast(few[0].schema) for t in few]), next(h.df for h in rows if h.table is not None)).df if few else None
-    for h in rows:
+    few = [h.table for h, _ in rows if h.table is not None]
+    out = local(spark, pa.concat_tables([t.cast(few[0].schema) for t in few]), next(h.df for h, _ in rows if h.table is not None)).df if few else None
+    for h, _ in rows:
         if h.table is None:
             out = h.df if out is None else out.unionByName(h.df)
     return out

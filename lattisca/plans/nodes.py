@@ -197,7 +197,8 @@ def again(name: str) -> Node:
     return {"kind": "recursion-ref", "name": name}
 
 
-def recursive(name: str, seed: Node, step: Node, key: list[Expr], max_iterations: int = 100, max_rows: int = 100_000) -> Node:
+def recursive(name: str, seed: Node, step: Node, key: list[Expr], max_iterations: int | None = 100, max_rows: int | None = 100_000) -> Node:
+    """A least fixpoint; a limit of None is none."""
     return {"kind": "recursive", "name": name, "seed": seed, "step": step, "key": key, "maxIterations": max_iterations, "maxRows": max_rows}
 
 

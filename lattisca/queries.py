@@ -424,7 +424,7 @@ FUNCTIONS["next", "1"] = (lambda v: v + 1, T.LongType())
 @plan("""WITH RECURSIVE r AS (SELECT 1::BIGINT AS node UNION SELECT l_partkey FROM r JOIN lineitem ON l_suppkey = node WHERE l_quantity > 45) SELECT node FROM r""")
 def recursive_reach():
     step = n.pipe(n.again("reach"), n.join(n.scan("lineitem", "l"), "inner", n.eq(f("l", "l_suppkey"), f("x", "node"))), n.where(n.compare("gt", f("l", "l_quantity"), lit(45))), n.select("x", node=f("l", "l_partkey")))
-    return n.recursive("reach", n.values("x", [{"node": 1}]), step, [f("x", "node")])
+    return n.recursive("reach", n.values("x", [{"node": 1}]), step, [f("x", "node")], max_iterations=None, max_rows=None)
 
 
 @plan("SELECT c_custkey, c_nationkey AS id_of, NULL::VARCHAR AS origin FROM customer")
