@@ -24,6 +24,7 @@ def recursive(engine, node: dict, keys: bool, outer):
     folder, so rounds neither recompute nor pile up lineage; the driver never holds more than SMALL rows of earlier rounds.
     """
     label = node["name"]
+    engine.frontier_keys[label] = node["key"]
     from lattisca.plans.engine import Frame, name
 
     def admitted(frame, seen):

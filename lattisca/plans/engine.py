@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattisca.functions.expressions import Lowered, Lowering, QueryError, common_type, constant
-from lattisca.operators import aggregates, windows
+from lattisca.operators import aggregates, joins, windows
 from lattisca.plans.completeness import EXACT, UNKNOWN, completeness
 from lattisca.plans.nodes import plan_id
 from lattisca.plans.validate import validate
@@ -63,10 +63,14 @@ class Result:
 class Engine:
     """One evaluation: relations (name -> inputs), parameters, functions ((id, version) -> (column function, type))."""
 
+    #: Whether joins count their pairs before.
+    counts_pairs = True
+
     def __init__(self, spark: SparkSession, relations: dict[str, list[RelationInput]], parameters: dict | None = None, functions: dict | None = None, basis=None, membership: int = 0):
         self.spark, self.relations, self.parameters, self.functions = spark, relations, parameters or {}, functions or {}
         self.basis, self.membership = basis, membership
         self.frontiers: dict[str, Frame] = {}
+        self.frontier_keys: dict[str, list[dict]] = {}
         self.issues: list[str] = []
         self.fresh = itertools.count()
 
@@ -270,6 +274,9 @@ class Engine:
             scope = {a: {f: Lowered(x.value, x.type, gone if x.missing is None else gone | x.missing, None if x.unknown is None else ~gone & x.unknown) for f, x in fields.items()} for a, fields in scope.items()}
         elif on is None:
             df = left.df.crossJoin(right.df)
+        elif outer is None and test.kind == "boolean" and (many := joins.blocks(self, node, left, right, keys)):
+            left, right, df = many
+            scope = right.scope
         else:
             df = left.df.join(right.df, on, "inner")
         return Frame(df, left.scope | scope, left.ids | right.ids if keys else {}, None, left.meta | right.meta)

@@ -190,6 +190,8 @@ class Stored:
 class _Over(Engine):
     """An engine that takes given frames for some nodes, and kept groups (by id of their node)."""
 
+    counts_pairs = False  # an update would count a whole relation
+
     def __init__(self, spark, relations, replaced: dict[int, Frame], kept: dict[int, tuple[Stored, Frame]] | None = None, **options):
         super().__init__(spark, relations, **options)
         self.replaced, self.kept = replaced, kept or {}
